@@ -22,13 +22,13 @@ for _byte in range(256):
 
 
 def select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Position of the k-th one (from 0) of each word."""
+    """Position of the k-th one (from 0) of each word; no meaning where there is none."""
     parts = words.view(np.uint8).reshape(-1, 8)
     upto = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.int64)
-    at = (upto <= k[:, None]).sum(axis=1)
+    at = np.minimum((upto <= k[:, None]).sum(axis=1), 7)
     row = np.arange(len(words))
     before = np.where(at > 0, upto[row, at - 1], 0)
-    return at * 8 + _SELECT8[parts[row, at], k - before]
+    return at * 8 + _SELECT8[parts[row, at], np.clip(k - before, 0, 7)]
 
 
 class EliasFano:
