@@ -40,3 +40,73 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
             .select("node", "component", (F.col("component") != F.col("was")).alias("changed")),
         )
     raise NotConverged(f"components still change after {max_rounds} rounds")
+
+
+def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(node): what can be reached from roots (node) along edges (src, dst), roots included. Cycles are no harm."""
+    from dagmar.plans.fixpoint import seminaive
+
+    steps = edges.select(F.col("src").alias("node"), "dst")
+    return seminaive(spark, roots.select("node"), lambda new: new.join(steps, "node").select(F.col("dst").alias("node")), max_rounds)
+
+
+def propagate(spark: SparkSession, edges: DataFrame, labels: DataFrame, max_rounds: int = 1000, unroll: int = 4) -> DataFrame:
+    """(node, label): the smallest label that reaches each node along edges, from labels (node, label).
+
+    The order in which labels spread does not show in the result, so there is no
+    priority to give.
+    """
+    steps = edges.select(F.col("src").alias("node"), F.col("dst")).distinct()
+
+    def spread(now: DataFrame) -> DataFrame:
+        moved = now.join(steps, "node").select(F.col("dst").alias("node"), "label")
+        return now.unionByName(moved).groupBy("node").agg(F.min("label").alias("label"))
+
+    now = materialise(spark, labels.groupBy("node").agg(F.min("label").alias("label")))
+    for _ in range(max_rounds):
+        new = now
+        for _ in range(unroll):
+            new = spread(new)
+        new = materialise(spark, new)
+        lower = new.join(now.withColumnRenamed("label", "was"), "node", "left").where(F.col("was").isNull() | (F.col("label") < F.col("was")))
+        if lower.isEmpty():
+            return new
+        now = new
+    raise NotConverged(f"labels still change after {max_rounds} rounds")
+
+
+def sources_on_targets(spark: SparkSession, edges: DataFrame, max_rounds: int = 1000, unroll: int = 4) -> DataFrame:
+    """Edges whose source is reached from a cycle: keep edges whose source is a kept edge's target, until all are."""
+    from dagmar.plans.fixpoint import fixpoint
+
+    return fixpoint(spark, edges.distinct(), lambda e: e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select(*edges.columns), max_rounds, unroll)
+
+
+def strongly_connected(spark: SparkSession, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """The edges (src, dst) inside strongly connected components.
+
+    First edges that lie on no path from a cycle to a cycle go. Then labels
+    spread forwards and backwards by turns; an edge between different labels
+    goes, until none does.
+    """
+    kept = sources_on_targets(spark, edges.select("src", "dst"))
+    kept = sources_on_targets(spark, kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    kept = materialise(spark, kept)
+    size = kept.count()
+    for _ in range(max_rounds):
+        for forward in (True, False):
+            turned = kept if forward else kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            nodes = turned.select(F.col("src").alias("node")).union(turned.select(F.col("dst").alias("node"))).distinct()
+            labels = propagate(spark, turned, nodes.withColumn("label", F.col("node")))
+            a, b = (labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")) for end in ("src", "dst"))
+            kept = materialise(spark, kept.join(a, "src").join(b, "dst").where(F.col("_src") == F.col("_dst")).select("src", "dst"))
+        now = kept.count()
+        if now == size:
+            return kept
+        size = now
+    raise NotConverged(f"components still split after {max_rounds} rounds")
+
+
+def union_find(spark: SparkSession, pairs: DataFrame) -> DataFrame:
+    """The pairs (src, dst) that join two sets as root pairs: a spanning star of each component, from its smallest member. There are as many as nodes less components, whatever the order of pairs."""
+    return connected_components(spark, pairs).where(F.col("node") != F.col("component")).select(F.col("component").alias("root"), F.col("node").alias("joined"))
