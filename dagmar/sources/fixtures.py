@@ -114,6 +114,14 @@ class Tables:
         )
 
 
+    def program_tables(self) -> Program:
+        """program() as written tables, as it would be in practice: passes of many joins plan faster over columns than over the fixture's expressions."""
+        return self.program().written(self.spark)
+
+    def graph_tables(self) -> ProgramGraph:
+        return self.graph().written(self.spark)
+
+
 def oracle(text: str) -> str:
     """Fixture SQL with the tables' own names."""
     return text.replace("{ir_blocks}", IR_BLOCKS).format(**{n: n for n in TABLES})
