@@ -1,9 +1,11 @@
 """Exact dedup by content sort, in DataFrame functions only.
 
-Sampled splitters (``repartitionByRange``) deal out the rows by their
-normalised text, an external sort puts equal texts side by side, and the window
-over each run of equal neighbours, found by comparing whole texts, tells which
-row stays.
+Sampled splitters (``repartitionByRange``) deal out the rows by the order of
+their normalised texts, an external sort puts equal texts side by side, and the
+window over each run of equal neighbours, found by comparing whole texts, tells
+which row stays. The order is that of a text's first ``PREFIX`` characters, its
+SHA-256 and then the whole text, so that the splitters that are sampled to the
+driver are short whatever the texts' length.
 
 A text held by more rows than ``hot_limit`` is dealt out in pieces: its rows
 get a salt of their ids that takes part in the range partitioning, so that no
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 
 from dagmar.llm.common import lower_az, table
 
+PREFIX = 32
+
 
 def content_sort(docs: DataFrame, hot_texts: int = 100_000, least_hot: int = 64) -> DataFrame:
     """Every row of docs with keep_id, group_size, kept and text_sha256."""
@@ -43,8 +47,9 @@ def content_sort(docs: DataFrame, hot_texts: int = 100_000, least_hot: int = 64)
         .join(F.broadcast(hot), "_hash", "left")
         .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_all") / hot_limit)), F.lit(0)))
     )
-    dealt = salted.repartitionByRange(text, F.col("_salt")).withColumn("_norm", text)
-    run = Window.partitionBy("_norm", "_salt").orderBy(F.col("doc_id").desc_nulls_last())
+    order = ("_prefix", "_hash", "_salt")
+    dealt = salted.withColumn("_prefix", F.substring(text, 1, PREFIX)).repartitionByRange(*order).withColumn("_norm", text)
+    run = Window.partitionBy(*order, "_norm").orderBy(F.col("doc_id").desc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = dealt.select(
         *docs.columns,
