@@ -80,22 +80,24 @@ def scan(spark: SparkSession, files: DataFrame, end: int = END, width: int = WID
                 start = block * block_tokens
                 n = min(block_tokens, tokens - start)
                 ids = np.frombuffer(read_range(path, start * width, n * width), f"<u{width}")
-                ends = np.flatnonzero(ids == end) + start
-                last = int(ends[-1]) if len(ends) else None
-                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([start + n == tokens]), pa.array([tokens], pa.int64()), pa.array([last], pa.int64()), pa.array([ends.tolist()], pa.list_(pa.int64()))], ["file", "block", "final", "tokens", "last", "ends"])
+                ends = np.flatnonzero(ids == end).astype(np.int32)
+                last = int(ends[-1]) + start if len(ends) else None
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([start + n == tokens]), pa.array([tokens], pa.int64()), pa.array([last], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([ends], pa.list_(pa.int32()))], ["file", "block", "final", "tokens", "last", "n", "ends"])
 
-    found = materialise(spark, blocks.select("path", "file", "tokens", "block").mapInArrow(run, "file long, block long, final boolean, tokens long, last long, ends array<long>"))
-    summary = found.select("file", "block", "last", F.size("ends").cast("long").alias("n"), F.floor(F.col("block") / F.lit(group)).alias("group"))
+    found = materialise(spark, blocks.select("path", "file", "tokens", "block").mapInArrow(run, "file long, block long, final boolean, tokens long, last long, n long, ends array<int>"))
+    summary = found.select("file", "block", "last", "n", F.floor(F.col("block") / F.lit(group)).alias("group"))
     in_group = Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     in_file = Window.partitionBy("file").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     groups = summary.groupBy("file", "group").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
     groups = groups.select("file", "group", F.sum("n").over(in_file).alias("docs_g"), F.max("last").over(in_file).alias("last_g"))
     local = summary.select("file", "block", "group", F.sum("n").over(in_group).alias("docs_b"), F.max("last").over(in_group).alias("last_b"))
     before = local.join(groups, ["file", "group"]).select("file", "block", (F.coalesce("docs_g", F.lit(0)) + F.coalesce("docs_b", F.lit(0))).alias("docs"), (F.coalesce("last_b", "last_g", F.lit(-1)) + 1).alias("open"))
-    stitched = found.join(before, ["file", "block"])
-    starts = F.concat(F.array("open"), F.transform("ends", lambda e: e + 1))
-    closed = stitched.select("file", "docs", F.posexplode(F.arrays_zip(F.slice(starts, F.lit(1), F.size("ends")).alias("a"), F.col("ends").alias("b"))).alias("i", "d"))
-    rest = stitched.where("final").select("file", (F.col("docs") + F.size("ends")).alias("ordinal"), F.coalesce(F.col("last") + 1, "open").alias("start"), "tokens")
+    # both sides grow with the documents, and compressed arrays look small enough to broadcast: a merge is asked for
+    stitched = found.join(before.hint("merge"), ["file", "block"])
+    ends = F.transform("ends", lambda e: e + F.col("block") * F.lit(block_tokens))
+    starts = F.concat(F.array("open"), F.transform(ends, lambda e: e + 1))
+    closed = stitched.select("file", "docs", F.posexplode(F.arrays_zip(F.slice(starts, F.lit(1), F.size("ends")).alias("a"), ends.alias("b"))).alias("i", "d"))
+    rest = stitched.where("final").select("file", (F.col("docs") + F.col("n")).alias("ordinal"), F.coalesce(F.col("last") + 1, "open").alias("start"), "tokens")
     return (
         closed.select("file", (F.col("docs") + F.col("i")).alias("ordinal"), F.col("d.a").alias("start"), (F.col("d.b") - F.col("d.a")).alias("n_tokens"), F.lit(True).alias("terminated"))
         .union(rest.where("start < tokens").select("file", "ordinal", "start", F.expr("tokens - start"), F.lit(False)))
@@ -107,4 +109,4 @@ def op1(spark, sf_dir: str) -> DataFrame:
     files = write_flat(spark, table(spark, sf_dir, "documents"))
     ids = files.select("file", F.posexplode("ids").alias("ordinal", "doc_id"))
     counts = scan(spark, files.select("path", "file", "tokens"))
-    return counts.join(ids.withColumn("ordinal", F.col("ordinal").cast("long")), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens", "terminated")
+    return counts.join(ids.withColumn("ordinal", F.col("ordinal").cast("long")).hint("merge"), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens", "terminated")
