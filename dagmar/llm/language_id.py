@@ -38,25 +38,30 @@ def held_out(doc_id):
     return id_crc32(doc_id) % 5 == 0
 
 
+class Logs:
+    """Log frequencies by language: a row of one matrix for each key."""
+
+    def __init__(self, rows: list[tuple[str, int, int]], langs: int):
+        self.at = {key: i for i, key in enumerate(dict.fromkeys(r[0] for r in rows))}
+        counts = np.zeros((len(self.at), langs))
+        for key, lang, n in rows:
+            counts[self.at[key], lang] += n
+        self.rows = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(self.at) + 1)))
+
+    def get(self, key: str) -> np.ndarray | None:
+        at = self.at.get(key)
+        return None if at is None else self.rows[at]
+
+
 class Model:
-    """Log frequencies of words and n-grams by language."""
+    """Log frequencies of words and of n-grams of each size, by language."""
 
     def __init__(self, words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]]):
         self.langs = sorted({lang for lang, _, _ in words})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self.words = self._logs([(w, at[k], n) for k, w, n in words])
-        self.grams = {}
-        for size in range(1, LONGEST + 1):
-            self.grams |= self._logs([(g, at[k], n) for k, g, n in grams if len(g) == size])
-
-    def _logs(self, rows) -> dict[str, np.ndarray]:
-        counts: dict[str, np.ndarray] = {}
-        for key, lang, n in rows:
-            counts.setdefault(key, np.zeros(len(self.langs)))[lang] += n
-        if not counts:
-            return {}
-        total = sum(counts.values()) + 0.5 * (len(counts) + 1)
-        return {k: np.log((c + 0.5) / total) for k, c in counts.items()}
+        logs = lambda rows: Logs([(key, at[lang], n) for lang, key, n in rows], len(at))
+        self.words = logs(words)
+        self.grams = {size: logs(g for g in grams if len(g[1]) == size) for size in range(1, LONGEST + 1)}
 
     def word(self, word: str) -> np.ndarray:
         known = self.words.get(word)
@@ -64,7 +69,7 @@ class Model:
             return known
         marked = f"<{word}>"
         for n in range(min(LONGEST, len(marked)), 0, -1):
-            found = [g for i in range(len(marked) - n + 1) if (g := self.grams.get(marked[i : i + n])) is not None]
+            found = [g for i in range(len(marked) - n + 1) if (g := self.grams[n].get(marked[i : i + n])) is not None]
             if found:
                 return sum(found) / len(found)
         return np.zeros(len(self.langs))
@@ -121,8 +126,13 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         .where(F.length("gram") <= LONGEST)
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
-    top = lambda df, key, k: [tuple(r) for r in df.orderBy(F.col("n").desc(), key, "lang").limit(k).collect()]
-    return Model(top(words, "word", MODEL_WORDS), top(grams, "gram", MODEL_GRAMS))
+    return Model(_top(words, "word", MODEL_WORDS), _top(grams, "gram", MODEL_GRAMS))
+
+
+def _top(counts: DataFrame, key: str, most: int) -> list[tuple[str, str, int]]:
+    """The rows of the largest counts. toArrow merges the partitions' rows on an executor, where collect would on the driver."""
+    found = counts.orderBy(F.col("n").desc(), key, "lang").limit(most).toArrow()
+    return list(zip(*(c.to_pylist() for c in found.columns), strict=True))
 
 
 def identify(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
