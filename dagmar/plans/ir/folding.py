@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagmar.functions.scalars import BINOPS, NUMBER, evaluate
-from dagmar.plans.fixpoint import fixpoint, fixpoint_all
+from dagmar.plans.fixpoint import fixpoint
 from dagmar.plans.ir.collect import single_declarations
+from dagmar.plans.lineage import materialise
 from dagmar.sources.program import Program
 
 
@@ -116,11 +117,16 @@ def constant_folding_round(program: Program) -> Program:
 
 
 def constant_folding(spark: SparkSession, program: Program, max_rounds: int = 100) -> Program:
-    """Fold until nothing folds any more, then drop copies."""
+    """Fold until nothing folds any more, then drop copies.
 
-    def step(now: dict) -> dict:
-        new = constant_folding_round(replace(program, **now))
-        return {"instructions": new.instructions, "terminators": new.terminators}
+    Terminators don't feed back into instructions and known constants only
+    grow, so they are folded once, by the last constants. A round writes what it
+    evaluated before promoting it, as promotion reads it several times.
+    """
 
-    done = fixpoint_all(spark, {"instructions": program.instructions, "terminators": program.terminators}, step, max_rounds)
-    return eliminate_copies(spark, replace(program, **done))
+    def step(now: DataFrame) -> DataFrame:
+        return promote_constants(materialise(spark, evaluate_binary_ops(now)))
+
+    insts = fixpoint(spark, program.instructions, step, max_rounds)
+    ends = materialise(spark, fold_terminators(program.terminators, insts))
+    return eliminate_copies(spark, replace(program, instructions=insts, terminators=ends))
