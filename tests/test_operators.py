@@ -123,3 +123,17 @@ def test_arrangements(spark):
     assert kept.is_cached and kept.count() == 9
     kept.unpersist()
     assert exchange.exchange(spark.range(9), F.col("id"), 3).rdd.getNumPartitions() == 3
+
+
+def test_mutual_recursion(spark):
+    numbers = spark.range(1, 6)
+    start = {"even": spark.range(1), "odd": spark.range(0)}
+
+    def step(now):
+        after = {k: df.select((F.col("id") + 1).alias("id")).join(numbers, "id", "left_semi") for k, df in now.items()}
+        return {"even": now["even"].union(after["odd"]).distinct(), "odd": now["odd"].union(after["even"]).distinct()}
+
+    done = fixpoint.fixpoint_all(spark, start, step)
+    assert {k: sorted(r["id"] for r in df.collect()) for k, df in done.items()} == {"even": [0, 2, 4], "odd": [1, 3, 5]}
+    with pytest.raises(fixpoint.NotConverged):
+        fixpoint.fixpoint_all(spark, start, step, max_rounds=2)
