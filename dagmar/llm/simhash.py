@@ -117,12 +117,15 @@ def links(spark: SparkSession, fps: DataFrame, bucket: int = BUCKET) -> DataFram
 
 
 def components(spark: SparkSession, marked: DataFrame) -> DataFrame:
-    """(fp, component_id) of every fingerprint in marked (doc_id, fp)."""
+    """(fp, component, component_id) of every fingerprint in marked (doc_id, fp).
+
+    component is the component's smallest fingerprint, which names it whatever the ids; component_id may be null or shared.
+    """
     fps = materialise(spark, marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected_components(spark, links(spark, fps)).select(F.col("node").alias("fp"), "component")
     named = materialise(spark, fps.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return named.join(names, "component").select("fp", "component_id")
+    return named.join(names, "component").select("fp", "component", "component_id")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -137,12 +140,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     marked = materialise(spark, fingerprints(docs, key.alias("_key")))
     stay = (
         marked.join(components(spark, marked), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id").agg(F.min("_key").alias("_stays"))
-        .select(F.col("component_id").alias("_id"), "_stays")
+        .groupBy(F.col("component").alias("_component")).agg(F.first("component_id").alias("_id"), F.min("_key").alias("_stays"))
     )
     whole = docs.withColumn("_key", key)
     kept = whole.join(stay, whole["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_stays")))
-    return kept.dropDuplicates(["_id", "_stays"]).select(*docs.columns)
+    return kept.dropDuplicates(["_component"]).select(*docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

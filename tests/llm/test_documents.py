@@ -246,6 +246,14 @@ def test_simhash(spark, docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(component.values()))
 
 
+def test_one_of_each_of_null_and_repeated_ids(spark):
+    texts = [f"{w} stands alone number {i} {w[::-1]}" for i, w in enumerate("stone river light winter garden amber".split())]
+    rows = [(None, t) for t in texts[:3]] * 2 + [(7, t) for t in texts[3:5]] + [(8, texts[4]), (None, texts[5]), (9, texts[5])]
+    assert len(set(brute_components([(i, brute_fingerprint(t)) for i, t in enumerate(texts)]).values())) == len(texts)
+    kept = simhash.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(None, t) for t in texts[:3]] + [(7, texts[3]), (7, texts[4]), (9, texts[5])])
+
+
 @pytest.mark.parametrize("bucket", [2, 64])
 def test_links_between_crowded_fingerprints(spark, bucket):
     import random
