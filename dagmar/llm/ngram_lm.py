@@ -1,18 +1,20 @@
 """N-gram language-model scoring over an Elias-Fano trie.
 
-The model is a bigram model with absolute discounting, interpolated with the
-smoothed unigram of the contract:
+The model has absolute discounting and is of order three (or two, by parameter),
+interpolated with the smoothed unigram of the contract:
 
     P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
     P(w | u) = max(c(u w) - D, 0) / c(u) + D T(u) / c(u) * P(w)
+    P(w | t u) = max(c(t u w) - E, 0) / c(t u) + E T(t u) / c(t u) * P(w | u)
 
 T(u) is the number of distinct tokens after u, D = n1 / (n1 + 2 n2) from the
-numbers of bigrams seen once and twice. The context of a text's first token is
-the end token; a context without a count leaves P(w). Over all known tokens and
-one unknown these sum to 1.
+numbers of bigrams seen once and twice, E the same of trigrams. The context of a
+text's first token is the end token, that of its second the end token and the
+first; a context without a count leaves the shorter one's probability. Over all
+known tokens and one unknown these sum to 1.
 
 Counts are gathered over all training documents: every task counts its own
-tokens and sends sorted blocks of counts to the model's shards. There are two
+tokens and sends sorted blocks of counts to the model's shards. There are three
 levels, each in flat files below the shared folder that workers memory-map:
 
 * words: a shard holds a range of 64-bit hashes of words, Elias-Fano coded, and
@@ -21,7 +23,10 @@ levels, each in flat files below the shared folder that workers memory-map:
   to where each one's successors begin, the successors themselves (made
   monotone by the context's rank), the quantised log10 of each smoothed
   probability and of each context's backoff weight, in 16 bits. A bigram is
-  found by a successor search within its context's range.
+  found by a successor search within its context's range;
+* trigrams: in the shard of their first two tokens, whose rank among the shard's
+  bigrams is their context: pointers, successors and counts, from which P is
+  computed when a text is scored.
 
 A context with a large share of all tokens is spread over the bigram shards by
 its successors. Workers keep a bounded memo of words.
@@ -52,6 +57,8 @@ WORD_SHARD, PAIR_SHARD, MEMO, FLUSH = 64 << 20, 48 << 20, 400_000, 3_000_000
 FLOOR = 16.0
 #: Successors of a hot context are spread over so many groups.
 SPREAD = 64
+#: A bigram's place is its shard's number times 2 ** PLACE and its rank there.
+PLACE = 40
 
 
 def held_out(doc_id):
@@ -108,6 +115,49 @@ def _merged(tab: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return _runs(keys[order], counts[order])
 
 
+def _small(counts: np.ndarray) -> tuple[bytes, ...]:
+    """Counts in a byte each, those of 255 and more also in full."""
+    large = np.nonzero(counts >= 255)[0]
+    return np.array([len(large)], np.int64).tobytes(), large.tobytes(), counts[large].astype(np.int64).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _at(raw: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The counts at some places of those written by _small."""
+    n = int(raw[:8].view(np.int64)[0])
+    large, full, small = raw[8 : 8 + 8 * n].view(np.int64), raw[8 + 8 * n : 8 + 16 * n].view(np.int64), raw[8 + 16 * n :]
+    out = small[where].astype(np.int64)
+    if n:
+        over = out == 255
+        out[over] = full[np.searchsorted(large, where[over])]
+    return out
+
+
+def _discount(once: int, twice: int) -> float:
+    return min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95)
+
+
+def _triples(tab: pa.Table, pairs: np.ndarray, vocabulary: int, slices: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams, as rank of the bigram in pairs * vocabulary + token, and their counts; merged by ranges of rank, which need less memory."""
+    blocks, v = [], np.uint64(vocabulary)
+    for k, n, c in zip(tab["keys"], tab["next"], tab["next_counts"], strict=True):
+        if not len(n.as_py()):
+            continue
+        raw = np.frombuffer(k.as_py(), np.uint8)
+        own, _ = EliasFano.opened(raw[8:])
+        rank = np.searchsorted(pairs, own.get(np.arange(own.n)) + raw[:8].view(np.uint64)[0]).astype(np.uint64)
+        keys, counts = _unblock(n.as_py(), c.as_py())
+        blocks.append((rank[(keys // v).astype(np.int64)] * v + keys % v, counts.astype(np.uint32)))
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32))]
+    edges = [np.uint64(len(pairs) * i // slices) * v for i in range(slices + 1)]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        cuts = [(*np.searchsorted(k, np.array([lo, hi], np.uint64)), k, c) for k, c in blocks]
+        if cuts:
+            keys, counts = np.concatenate([k[a:b] for a, b, k, _ in cuts]), np.concatenate([c[a:b] for a, b, _, c in cuts])
+            order = np.argsort(keys, kind="stable")
+            out.append(_runs(keys[order], counts[order]))
+    return np.concatenate([k for k, _ in out]), np.concatenate([c for _, c in out])
+
+
 def _batches(batches, step: int = 512):
     for batch in batches:
         for at in range(0, batch.num_rows, step):
@@ -215,9 +265,9 @@ class Pairs:
             raw = raw[-(-2 * context.n // 8) * 8 :]
             self.shards.append((context, pointer, successor, backoff, raw[: 2 * successor.n].view(np.uint16)))
 
-    def logs(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 P(token | context) where the bigram is known, else NaN; log10 of the context's backoff weight, 0 if it has none."""
-        known, backoff = np.full(len(context), np.nan), np.zeros(len(context))
+    def logs(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 P(token | context) where the bigram is known, else NaN; log10 of the context's backoff weight, 0 if it has none; the bigram's place, -1 if it is unknown."""
+        known, backoff, place = np.full(len(context), np.nan), np.zeros(len(context)), np.full(len(context), -1, np.int64)
         where = route(context, np.maximum(token, 0), self.hot, len(self.shards))
         order = np.argsort(where, kind="stable")
         cuts = np.searchsorted(where[order], np.arange(len(self.shards) + 1))
@@ -233,12 +283,55 @@ class Pairs:
             if len(own):
                 lo, hi = pointer.get(rank).astype(np.int64), pointer.get(rank + 1).astype(np.int64)
                 at = successor.find((rank * self.vocabulary + token[own]).astype(np.uint64), lo, hi)
-                known[own[at >= 0]] = unquantise(probabilities[at[at >= 0]])
+                own, at = own[at >= 0], at[at >= 0]
+                known[own], place[own] = unquantise(probabilities[at]), (s << PLACE) + at
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
             is_hot = self.hot[at] == context
             backoff[is_hot] = self.hot_backoff[at[is_hot]]
-        return known, backoff
+        return known, backoff, place
+
+
+class Triples:
+    """The trigram level."""
+
+    def __init__(self, folder: str, n: int, discount: float, vocabulary: int):
+        self.discount, self.vocabulary = discount, vocabulary
+        self.shards = []
+        for s in range(n):
+            raw = map_bytes(f"{folder}/triples-{s:05d}")
+            if not len(raw):
+                self.shards.append(None)
+                continue
+            pointer, raw = EliasFano.opened(raw)
+            successor, raw = EliasFano.opened(raw)
+            pairs, rest = EliasFano.opened(map_bytes(f"{folder}/counts-{s:05d}"))
+            self.shards.append((pointer, successor, raw, rest[: 4 * pairs.n].view(np.uint32)))
+
+    def parts(self, place: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the trigram itself adds to P(token | bigram at place), and the weight of the probability by the shorter context."""
+        own_part, weight = np.zeros(len(place)), np.ones(len(place))
+        where = place >> PLACE
+        order = np.argsort(where, kind="stable")
+        cuts = np.searchsorted(where[order], np.arange(len(self.shards) + 1))
+        for s, shard in enumerate(self.shards):
+            own = order[cuts[s] : cuts[s + 1]]
+            if shard is None or not len(own):
+                continue
+            pointer, successor, counts, seen = shard
+            rank = place[own] & ((1 << PLACE) - 1)
+            lo, hi = pointer.get(np.concatenate([rank, rank + 1])).astype(np.int64).reshape(2, -1)
+            has = hi > lo
+            own, rank, lo, hi = own[has], rank[has], lo[has], hi[has]
+            total = seen[rank].astype(np.float64)
+            weight[own] = self.discount * (hi - lo) / total
+            known = token[own] >= 0
+            own, rank, lo, hi, total = own[known], rank[known], lo[known], hi[known], total[known]
+            if len(own):
+                at = successor.find((rank * self.vocabulary + token[own]).astype(np.uint64), lo, hi)
+                found = at >= 0
+                own_part[own[found]] = (_at(counts, at[found]) - self.discount) / total[found]
+        return own_part, weight
 
 
 def _count_words(train: DataFrame, shards: int) -> DataFrame:
@@ -268,8 +361,10 @@ def _count_words(train: DataFrame, shards: int) -> DataFrame:
     return train.select("text").mapInArrow(run, "shard int, keys binary, counts binary")
 
 
-def build(spark: SparkSession, docs: DataFrame) -> dict:
-    """The model of docs' training rows: where its files are and its few global numbers."""
+def build(spark: SparkSession, docs: DataFrame, order: int = 2) -> dict:
+    """The model of docs' training rows, of order two or three: where its files are and its few global numbers."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order} is neither 2 nor 3")
     folder = shared_dir(spark)
     train = docs.where(~held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     size, texts = train.agg(F.sum(F.octet_length("text")), F.count("*")).first()
@@ -297,26 +392,38 @@ def build(spark: SparkSession, docs: DataFrame) -> dict:
     end = int(first[-1])  # the end token's number, behind all words
     edge = max(1, total // (4 * pair_shards))
     hot = sorted([*(int(first[r["shard"]] + a) for r in made for a, c in zip(r["at"], r["c"], strict=True) if c > edge), *([end] if texts > edge else [])])
-    model = {"folder": folder, "sizes": sizes, "texts": texts, "total": total, "end": end, "vocabulary": end + (texts > 0), "pair_shards": pair_shards, "hot": hot, "hot_backoff": [0.0] * len(hot)}
+    model = {"folder": folder, "order": order, "sizes": sizes, "texts": texts, "total": total, "end": end, "vocabulary": end + (texts > 0), "pair_shards": pair_shards, "hot": hot, "hot_backoff": [0.0] * len(hot)}
     vocabulary = model["vocabulary"]
     hots = np.array(hot, np.int64)
 
     def count_pairs(batches):
         def flush():
-            keys = np.concatenate(held)
+            keys, after = np.concatenate(held), np.concatenate(nexts) if order > 2 else np.zeros(0, np.int64)
             held.clear()
-            keys, counts = np.unique(keys, return_counts=True)
+            nexts.clear()
+            if order > 2:
+                keys, rank, counts = np.unique(keys, return_inverse=True, return_counts=True)
+                triples, triple_counts = np.unique(rank[after >= 0] * vocabulary + after[after >= 0], return_counts=True)
+            else:
+                keys, counts = np.unique(keys, return_counts=True)
+                triples = triple_counts = after
             where = route(keys // vocabulary, keys % vocabulary, hots, pair_shards)
+            above = triples // vocabulary
+            there = where[above]
             for s in np.unique(where):
-                own = where == s
+                own, mine = where == s, there == s
                 k, c = _block(keys[own].astype(np.uint64), counts[own])
-                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([k]), pa.array([c])], ["shard", "keys", "counts"])
+                local = np.cumsum(own) - 1
+                n, m = _block((local[above[mine]] * vocabulary + triples[mine] % vocabulary).astype(np.uint64), triple_counts[mine]) if mine.any() else (b"", b"")
+                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([k]), pa.array([c]), pa.array([n]), pa.array([m])], ["shard", "keys", "counts", "next", "next_counts"])
 
-        reader, held = Reader(Words(folder, sizes)), []
+        reader, held, nexts = Reader(Words(folder, sizes)), [], []
         for some in _batches(batches):
             lengths, numbers, _ = reader.read(some.column(0).to_pylist())
             tokens = with_ends(lengths, numbers, end)
             held.append(contexts(lengths, tokens, end) * vocabulary + tokens)
+            if order > 2:
+                nexts.append(np.where(tokens != end, np.append(tokens[1:], -1), -1))  # nothing follows the end token
             if sum(map(len, held)) > FLUSH:
                 yield from flush()
         if held:
@@ -328,12 +435,22 @@ def build(spark: SparkSession, docs: DataFrame) -> dict:
         write_bytes(f"{folder}/counts-{s:05d}", *(p.tobytes() for p in EliasFano.of(keys, vocabulary * vocabulary).parts()), counts.astype(np.uint32).tobytes())
         context = (keys // np.uint64(vocabulary)).astype(np.int64)
         mine, n = np.unique(context[np.isin(context, hots)], return_counts=True)
-        return pa.table({"shard": pa.array([s], pa.int32()), "once": pa.array([int((counts == 1).sum())], pa.int64()), "twice": pa.array([int((counts == 2).sum())], pa.int64()), "hot": pa.array([mine.tolist()], pa.list_(pa.int64())), "types": pa.array([n.tolist()], pa.list_(pa.int64()))})
-
-    pairs = train.mapInArrow(count_pairs, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(pair_file, "shard int, once long, twice long, hot array<long>, types array<long>").collect()  # one row per shard
-    once, twice = sum(r["once"] for r in pairs), sum(r["twice"] for r in pairs)
-    discount = once / (once + 2 * twice) if once else 0.5
-    model["discount"] = discount = min(max(discount, 0.05), 0.95)
+        once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+        del context, counts
+        triples, triple_counts = _triples(tab, keys, vocabulary) if order > 2 else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        if order > 2:
+            ends = np.cumsum(np.bincount((triples // np.uint64(vocabulary)).astype(np.int64), minlength=len(keys)))
+            write_bytes(
+                f"{folder}/triples-{s:05d}",
+                *(p.tobytes() for p in EliasFano.of(np.concatenate([[0], ends]), len(triples) + 1).parts()),
+                *(p.tobytes() for p in EliasFano.of(triples, len(keys) * vocabulary).parts()),
+                *_small(triple_counts),
+            )
+        return pa.table({"shard": pa.array([s], pa.int32()), "once": pa.array([once], pa.int64()), "twice": pa.array([twice], pa.int64()), "once3": pa.array([int((triple_counts == 1).sum())], pa.int64()), "twice3": pa.array([int((triple_counts == 2).sum())], pa.int64()), "hot": pa.array([mine.tolist()], pa.list_(pa.int64())), "types": pa.array([n.tolist()], pa.list_(pa.int64()))})
+
+    pairs = train.mapInArrow(count_pairs, "shard int, keys binary, counts binary, next binary, next_counts binary").groupBy("shard").applyInArrow(pair_file, "shard int, once long, twice long, once3 long, twice3 long, hot array<long>, types array<long>").collect()  # one row per shard
+    model["discount"] = discount = _discount(sum(r["once"] for r in pairs), sum(r["twice"] for r in pairs))
+    model["discount3"] = _discount(sum(r["once3"] for r in pairs), sum(r["twice3"] for r in pairs))
     types = dict.fromkeys(hot, 0)
     for r in pairs:
         for c, n in zip(r["hot"], r["types"], strict=True):
@@ -372,6 +489,7 @@ def build(spark: SparkSession, docs: DataFrame) -> dict:
         spark.createDataFrame([(s,) for s in shards], "shard int").repartition(len(shards)).mapInArrow(trie_file, "shard int, n long").collect()
     for s in set(range(pair_shards)) - set(shards):
         write_bytes(f"{folder}/pairs-{s:05d}")
+        write_bytes(f"{folder}/triples-{s:05d}")
     seen = {int(first[r["shard"]] + a): c for r in made for a, c in zip(r["at"], r["c"], strict=True)} | {end: texts}
     model["hot_backoff"] = [float(np.log10(discount * types[c] / seen[c])) for c in hot]
     return model
@@ -382,6 +500,7 @@ class Scorer:
         self.model = model
         self.reader = Reader(Words(model["folder"], model["sizes"]))
         self.pairs = Pairs(model["folder"], model["pair_shards"], np.array(model["hot"], np.int64), np.array(model["hot_backoff"]), max(1, model["vocabulary"]))
+        self.triples = Triples(model["folder"], model["pair_shards"], model["discount3"], max(1, model["vocabulary"])) if model["order"] > 2 else None
 
     def score(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each text."""
@@ -397,8 +516,17 @@ class Scorer:
         if trained and len(used):
             width = m["vocabulary"] + 1
             pairs, back = np.unique(context[used] * width + tokens[used] + 1, return_inverse=True)
-            known, backoff = self.pairs.logs(pairs // width, pairs % width - 1)
+            known, backoff, places = self.pairs.logs(pairs // width, pairs % width - 1)
             logs[used] = np.where(np.isnan(known[back]), backoff[back] + base[used], known[back])
+            if self.triples:
+                place = np.full(len(tokens), -1, np.int64)
+                place[used] = places[back]
+                pair = np.full(len(tokens), -1, np.int64)
+                pair[used] = back
+                third = 1 + np.nonzero((place[:-1] >= 0) & (tokens[:-1] != m["end"]))[0]
+                triples, first, back = np.unique(pair[third - 1] * width + tokens[third] + 1, return_index=True, return_inverse=True)
+                own, weight = self.triples.parts(place[third[first] - 1], triples % width - 1)
+                logs[third] = np.log10(own[back] + weight[back] * 10.0 ** logs[third])
         sizes = np.array(lengths, np.int64) + 1
         starts = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
@@ -419,4 +547,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, build(spark, docs))
+    return score(docs, build(spark, docs, order=3))

@@ -306,6 +306,50 @@ def test_ngram_lm(spark, docs):
         assert abs(a[6] - b[6]) <= 2e-4 * a[2], (a, b)
 
 
+def brute_trigram_scores(rows):
+    ends = lambda r: [None, *WORDS.findall(lower(r["text"])), None]
+    train = [ends(r) for r in rows if fake(r["doc_id"], 5) != 1]
+    c, pair, triple = Counter(w for d in train for w in d[1:]), Counter(), Counter()
+    for d in train:
+        pair.update(zip(d, d[1:]))
+        triple.update(zip(d, d[1:], d[2:]))
+    after = [Counter(k[:-1] for k in counted) for counted in (pair, triple)]
+    n, v = sum(c.values()), len(c)
+    discounts = []
+    for counted in (pair, triple):
+        once, twice = (sum(x == k for x in counted.values()) for k in (1, 2))
+        discounts.append(min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95))
+    for r in rows:
+        d, score = ends(r), 0.0
+        for i in range(1, len(d)):
+            p = (c[d[i]] + 0.5) / (n + 0.5 * (v + 1))
+            if seen := c[d[i - 1]]:
+                p = max(pair[d[i - 1], d[i]] - discounts[0], 0) / seen + discounts[0] * after[0][d[i - 1],] / seen * p
+            if i > 1 and (seen := pair[d[i - 2], d[i - 1]]):
+                p = max(triple[d[i - 2], d[i - 1], d[i]] - discounts[1], 0) / seen + discounts[1] * after[1][d[i - 2], d[i - 1]] / seen * p
+            score += math.log10(p)
+        yield r["doc_id"], len(d) - 1, score
+
+
+def test_trigram_lm(spark, docs, tmp_path):
+    key = lambda r: (str(r[0]), r[1], r[2])
+    rows = rows_of(docs)
+    got = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in ngram_lm.score(docs, ngram_lm.build(spark, docs, order=3)).collect()), key=key)
+    want = sorted(brute_trigram_scores(rows), key=key)
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) <= 2e-4 * a[1], (a, b)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    query = {(r["doc_id"], r["n_tokens"]): r["score"] for r in ngram_lm.op10(spark, str(tmp_path)).collect()}
+    assert all(abs(query[a[:2]] - a[2]) < 1e-6 for a in got)
+
+
+def test_counts_beyond_a_byte():
+    counts = np.array([1, 254, 255, 256, 3, 10**6, 2], np.uint32)
+    raw = np.frombuffer(b"".join(ngram_lm._small(counts)), np.uint8)
+    assert ngram_lm._at(raw, np.array([6, 5, 1, 2, 0, 3, 3])).tolist() == [2, 10**6, 254, 255, 1, 256, 256]
+
+
 def test_ngram_lm_without_training_rows(spark):
     docs = spark.createDataFrame([(i, "a b") for i in range(200) if fake(i, 5) == 1][:3], "doc_id long, text string")
     got = ngram_lm.score(docs, ngram_lm.build(spark, docs)).collect()
