@@ -18,7 +18,7 @@ from dagmar.plans.graph_ir import passes as graph_passes
 from dagmar.plans.ir import cleanup, collect, folding, inline, loops, peephole, verify
 from dagmar.plans.lineage import materialise, shared_dir
 from dagmar.sources import dot, events, pretty, translate
-from dagmar.sources.fixtures import E_CTE, G_CTE, IR_CTE, V_CTE, Tables
+from dagmar.sources.fixtures import E_CTE, G_CTE, IR_CTE, V_CTE, Tables, WholeTables
 from dagmar.streaming import epochs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -865,6 +865,39 @@ def epoch_monotone(t):
     return state.read().withColumnRenamed("_diff", "n")
 
 
+# graph queries over an edge of every customer row: no SQL, as its recursion is too slow there; tests hold them against brute force
+
+
+def whole(fn: Callable[[Tables], DataFrame], name: str | None = None):
+    """Register a function of the tables with the whole graph."""
+    QUERIES[name or f"{fn.__name__}_whole"] = lambda spark, sf_dir: fn(WholeTables(spark, sf_dir))
+    return fn
+
+
+for _fn in (reachable, scc_edges, loop_edges, iterate, vsdg_loops, minplus_join, maxplus_join, cull_edges, map_in_place):
+    whole(_fn)
+
+whole(lambda t: graph.connected_components(t.spark, t.edges()), "connected_components_whole")
+whole(lambda t: graph.union_find(t.spark, t.edges()), "union_find_whole")
+
+
+def _propagate_min_whole(t):
+    e = t.edges()
+    return graph.propagate(t.spark, e, e.select(c("src").alias("node"), c("src").alias("label")))
+
+
+def _delta_cull_edges_whole(t):
+    e = t.edges()
+    nodes = e.select(c("src").alias("node")).union(e.select("dst")).distinct()
+    old, new = nodes.where("node % 5 <> 0"), nodes.where("node % 3 <> 0")
+    e = zset.lift(e)
+    return joins.delta_cull_edges(e, e.limit(0), zset.lift(old), joins.differentiate(new, old))
+
+
+whole(_propagate_min_whole, "propagate_min_whole")
+whole(_delta_cull_edges_whole, "delta_cull_edges_whole")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What can be reached from node 1 of the derived graph."""
     return materialise(spark, QUERIES["reachable"](spark, sf_dir))

@@ -1,0 +1,84 @@
+"""Graph queries over an edge of every customer row against brute force, where the table has more than the 1,000 rows of the SQL's graph."""
+
+import duckdb
+import pytest
+
+from dagmar.plans.catalogue import QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def after():
+    keys = [k for (k,) in duckdb.sql(f"SELECT c_custkey FROM '{SF}/customer.parquet'").fetchall()]
+    assert len(set(keys)) == len(keys) > 1000
+    return {k: (k * k + 1) % len(keys) for k in keys}
+
+
+def orbit(after, *nodes):
+    seen, todo = set(), list(nodes)
+    while todo:
+        x = todo.pop()
+        if x not in seen:
+            seen.add(x)
+            todo.append(after[x])
+    return seen
+
+
+def lowest(after):
+    """The smallest member of each node's component."""
+    of = {x: x for x in after}
+
+    def find(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for a, b in after.items():
+        a, b = sorted((find(a), find(b)))
+        of[b] = a
+    return {x: find(x) for x in after}
+
+
+def labels(after):
+    out = {}
+    for x in sorted(after):
+        for y in orbit(after, x):
+            out.setdefault(y, x)
+    return out
+
+
+def cycles(after):
+    return [(a, b) for a, b in after.items() if a in orbit(after, b)]
+
+
+def kept(after, k):
+    return {(a, b) for a, b in after.items() if a % k and b % k}
+
+
+def hops(after):
+    return [(a, after[b], a % 17 + b % 17) for a, b in after.items()]
+
+
+WANT = {
+    "reachable": (["node"], lambda e: [(x,) for x in orbit(e, 1)]),
+    "iterate": (["node"], lambda e: [(x,) for x in orbit(e, *range(5))]),
+    "propagate_min": (["node", "label"], lambda e: labels(e).items()),
+    "connected_components": (["node", "component"], lambda e: lowest(e).items()),
+    "union_find": (["root", "joined"], lambda e: [(r, x) for x, r in lowest(e).items() if r != x]),
+    "scc_edges": (["src", "dst"], cycles),
+    "loop_edges": (["src", "dst"], cycles),
+    "vsdg_loops": (["src", "dst"], cycles),
+    "minplus_join": (["src", "dst", "w"], hops),
+    "maxplus_join": (["src", "dst", "w"], hops),
+    "cull_edges": (["src", "dst"], lambda e: kept(e, 3)),
+    "delta_cull_edges": (["src", "dst", "_diff"], lambda e: [(*x, 1 if x in kept(e, 3) else -1) for x in kept(e, 3) ^ kept(e, 5)]),
+    "map_in_place": (["src", "dst"], lambda e: [(b, a) for a, b in e.items()]),
+}
+
+
+@pytest.mark.parametrize("name", WANT)
+def test_query_of_the_whole_graph(spark, after, name):
+    columns, want = WANT[name]
+    got = QUERIES[f"{name}_whole"](spark, SF).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want(after)))
