@@ -12,7 +12,8 @@ language (drawn by a hash of the id at 90 % of that rate), and keeps the
 these parameters bound what is broadcast. Prediction reads whole texts.
 
 Defined cases: a null text and one without a letter get ``und`` and score 0;
-so does every text if no row can be learned from; ties go to the language that
+so does every text if no row can be learned from (``known_language`` then keeps
+those with a letter); ties go to the language that
 is first by name; rows of a null lang are predicted but not learned from;
 repeated rows are predicted each; an empty table gives an empty result; of docs
 only doc_id, text and lang are looked at, and lang only in training.
@@ -75,6 +76,10 @@ class Model:
         return np.zeros(len(self.langs))
 
 
+def has_letter(text: str | None) -> bool:
+    return any(c.isalpha() for w in _WORDS.findall(text or "") for c in w)
+
+
 class Predictor(dict):
     """word -> row of its scores, for a bounded number of words at a time."""
 
@@ -151,7 +156,7 @@ def identify(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOC
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The rows of docs, whole, whose language is found: those without a letter go."""
+    """The rows of docs, whole, whose language is found: those without a letter go, and no others if there is no language to learn from."""
     model = spark.sparkContext.broadcast(train(docs.select("doc_id", "text", "lang"), sample_docs))
     at_text = docs.columns.index("text")
 
@@ -160,7 +165,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMP
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                yield some.filter(pa.array([predictor.predict(t)[0] != UNKNOWN for t in some.column(at_text).to_pylist()], pa.bool_()))
+                stays = [predictor.predict(t)[0] != UNKNOWN if model.value.langs else has_letter(t) for t in some.column(at_text).to_pylist()]
+                yield some.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

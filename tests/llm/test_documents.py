@@ -191,6 +191,13 @@ def test_language_id(spark, docs):
     assert kept.count() == len(got) - 4 and kept.columns == docs.columns
 
 
+def test_documents_stay_without_a_language_to_learn_from(spark):
+    held = next(i for i in range(100) if fake(i, 5) == 0)
+    rows = [(None, "the river", None), (1, "été", None), (2, "12 !", None), (3, None, None), (held, "la pierre", "fr")]
+    kept = language_id.known_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(r["text"] for r in kept.collect()) == ["la pierre", "the river", "été"]
+
+
 def test_language_id_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
