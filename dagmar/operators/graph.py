@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagmar.plans.lineage import materialise
+from dagmar.plans.lineage import materialise, release
 
 
 class NotConverged(RuntimeError):
     """A fixpoint was not reached within the allowed number of rounds."""
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """(node, component) for the ends of undirected edges (src, dst); a component is named by its smallest node.
 
     Each round takes the smallest label among the neighbours and then jumps to
@@ -29,20 +29,22 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
     )
     for _ in range(max_rounds):
         if labels.where("changed").isEmpty():
+            release(both)
             alone = loops.join(labels, "node", "left_anti").distinct()
             return labels.select("node", "component").union(alone.select("node", F.col("node").alias("component")))
         near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("beyond"))
-        labels = materialise(
+        older, labels = labels, materialise(
             spark,
             lower.join(jump, "to").select("node", F.least("to", "beyond").alias("component"), "was")
             .select("node", "component", (F.col("component") != F.col("was")).alias("changed")),
         )
+        release(older)
     raise NotConverged(f"components still change after {max_rounds} rounds")
 
 
-def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """(node): what can be reached from roots (node) along edges (src, dst), roots included. Cycles are no harm."""
     from dagmar.plans.fixpoint import seminaive
 
@@ -50,7 +52,7 @@ def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame, max_round
     return seminaive(spark, roots.select("node"), lambda new: new.join(steps, "node").select(F.col("dst").alias("node")), max_rounds)
 
 
-def propagate(spark: SparkSession, edges: DataFrame, labels: DataFrame, max_rounds: int = 1000, unroll: int = 4) -> DataFrame:
+def propagate(spark: SparkSession, edges: DataFrame, labels: DataFrame, max_rounds: int = 100_000, unroll: int = 4) -> DataFrame:
     """(node, label): the smallest label that reaches each node along edges, from labels (node, label).
 
     The order in which labels spread does not show in the result, so there is no
@@ -69,20 +71,22 @@ def propagate(spark: SparkSession, edges: DataFrame, labels: DataFrame, max_roun
             new = spread(new)
         new = materialise(spark, new)
         lower = new.join(now.withColumnRenamed("label", "was"), "node", "left").where(F.col("was").isNull() | (F.col("label") < F.col("was")))
-        if lower.isEmpty():
+        settled = lower.isEmpty()
+        release(now)
+        if settled:
             return new
         now = new
     raise NotConverged(f"labels still change after {max_rounds} rounds")
 
 
-def sources_on_targets(spark: SparkSession, edges: DataFrame, max_rounds: int = 1000, unroll: int = 4) -> DataFrame:
+def sources_on_targets(spark: SparkSession, edges: DataFrame, max_rounds: int = 100_000, unroll: int = 4) -> DataFrame:
     """Edges whose source is reached from a cycle: keep edges whose source is a kept edge's target, until all are."""
     from dagmar.plans.fixpoint import fixpoint
 
     return fixpoint(spark, edges.distinct(), lambda e: e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select(*edges.columns), max_rounds, unroll)
 
 
-def strongly_connected(spark: SparkSession, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def strongly_connected(spark: SparkSession, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """The edges (src, dst) inside strongly connected components.
 
     First edges that lie on no path from a cycle to a cycle go. Then labels

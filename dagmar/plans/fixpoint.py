@@ -1,8 +1,9 @@
 """Recursion: loops on the driver over written relations.
 
 Each round is written to the shared folder, so lineage stays one round deep and
-a lost executor costs at most that round. All loops have a cap and raise if
-they don't settle.
+a lost executor costs at most that round; a round's folder goes once the next is
+written. Loops raise if they don't settle within a cap, which is there against
+steps that never would: rounds grow with a program's depth, so it is high.
 """
 
 from __future__ import annotations
@@ -13,14 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dagmar.operators.graph import NotConverged
 from dagmar.operators.zset import differences
-from dagmar.plans.lineage import materialise
+from dagmar.plans.lineage import materialise, release
+
+#: Far above the depth of real inputs.
+ROUNDS = 100_000
 
 
 def same(a: DataFrame, b: DataFrame) -> bool:
     return differences(a, b).isEmpty()
 
 
-def fixpoint(spark: SparkSession, start: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 100, unroll: int = 1) -> DataFrame:
+def fixpoint(spark: SparkSession, start: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = ROUNDS, unroll: int = 1) -> DataFrame:
     """Apply step until nothing changes; unroll steps make one round."""
     now = materialise(spark, start)
     for _ in range(max_rounds):
@@ -28,18 +32,22 @@ def fixpoint(spark: SparkSession, start: DataFrame, step: Callable[[DataFrame],
         for _ in range(unroll):
             new = step(new)
         new = materialise(spark, new)
-        if same(now, new):
+        settled = same(now, new)
+        release(now)
+        if settled:
             return new
         now = new
     raise NotConverged(f"no fixpoint after {max_rounds} rounds")
 
 
-def fixpoint_all(spark: SparkSession, start: Mapping[str, DataFrame], step: Callable[[dict[str, DataFrame]], Mapping[str, DataFrame]], max_rounds: int = 100) -> dict[str, DataFrame]:
+def fixpoint_all(spark: SparkSession, start: Mapping[str, DataFrame], step: Callable[[dict[str, DataFrame]], Mapping[str, DataFrame]], max_rounds: int = ROUNDS) -> dict[str, DataFrame]:
     """Mutually recursive relations: step computes all of them from all of them."""
     now = {k: materialise(spark, v) for k, v in start.items()}
     for _ in range(max_rounds):
         new = {k: materialise(spark, v) for k, v in step(now).items()}
-        if all(same(now[k], new[k]) for k in new):
+        settled = all(same(now[k], new[k]) for k in new)
+        release(*(now[k] for k in new))
+        if settled:
             return now | new
         now = now | new
     raise NotConverged(f"no fixpoint after {max_rounds} rounds")
@@ -59,23 +67,28 @@ class Variable:
         self.step = lambda now: self.start.unionByName(step(now)).distinct()
         return self
 
-    def run(self, spark: SparkSession, max_rounds: int = 100) -> DataFrame:
+    def run(self, spark: SparkSession, max_rounds: int = ROUNDS) -> DataFrame:
         return fixpoint(spark, self.start, self.step, max_rounds)
 
 
-def seminaive(spark: SparkSession, start: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 1000, compact: int = 16) -> DataFrame:
+def seminaive(spark: SparkSession, start: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = ROUNDS, compact: int = 16) -> DataFrame:
     """Least fixpoint of a monotone step: each round looks at the rows that the one before found.
 
     What is known is a union of written rounds, rewritten every `compact` rounds.
     """
     delta = known = materialise(spark, start.distinct())
+    parts = [known]
     for round_ in range(1, max_rounds + 1):
         delta = materialise(spark, step(delta).select(*start.columns).distinct().join(known, start.columns, "left_anti"))
         if delta.isEmpty():
+            release(delta)
             return known
         known = known.union(delta)
+        parts.append(delta)
         if round_ % compact == 0:
             known = materialise(spark, known)
+            release(*parts[:-1])
+            parts = [parts[-1], known]
     raise NotConverged(f"still growing after {max_rounds} rounds")
 
 
@@ -88,7 +101,7 @@ def bounded_loop(spark: SparkSession, start: DataFrame, body: Callable[[DataFram
     return out
 
 
-def apply_sequenced(spark: SparkSession, start: DataFrame, functions: Sequence[Callable[[DataFrame], DataFrame]], max_rounds: int = 100) -> DataFrame:
+def apply_sequenced(spark: SparkSession, start: DataFrame, functions: Sequence[Callable[[DataFrame], DataFrame]], max_rounds: int = ROUNDS) -> DataFrame:
     """Apply all functions in turn to the whole relation, again and again, until a turn changes nothing."""
 
     def turn(df: DataFrame) -> DataFrame:
