@@ -7,12 +7,13 @@ import uuid
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagmar.plans.lineage import materialise, shared_dir
 
-__all__ = ["LOWER_BYTES", "WORD", "id_crc32", "local_path", "lower_az", "map_bytes", "materialise", "read_range", "shared_dir", "table", "write_bytes"]
+__all__ = ["LOWER_BYTES", "WORD", "id_crc32", "local_path", "lower_az", "map_bytes", "materialise", "read_range", "shared_dir", "slices", "table", "write_bytes"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes.translate table that lower-cases A-Z and nothing else.
@@ -35,6 +36,20 @@ def id_crc32(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def slices(batches, text: int, most: int):
+    """The batches cut into parts of about `most` bytes of the column at place `text`, whatever the rows' lengths; a longer value is a part of its own."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        upto = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0)), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            so_far = int(upto[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, so_far + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 

@@ -23,12 +23,20 @@ for _byte in range(256):
 
 def select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Position of the k-th one (from 0) of each word; no meaning where there is none."""
-    parts = words.view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.int64)
-    at = np.minimum((upto <= k[:, None]).sum(axis=1), 7)
-    row = np.arange(len(words))
-    before = np.where(at > 0, upto[row, at - 1], 0)
-    return at * 8 + _SELECT8[parts[row, at], np.clip(k - before, 0, 7)]
+    k, at = k.astype(np.int64), np.zeros(len(words), np.int64)
+    for half in (32, 16, 8):
+        ones = np.bitwise_count(words & U((1 << half) - 1)).astype(np.int64)
+        beyond = k >= ones
+        k = k - ones * beyond
+        at += beyond * half
+        words = words >> (beyond * half).astype(U)
+    return at + _SELECT8[(words & U(0xFF)).astype(np.int64), np.clip(k, 0, 7)]
+
+
+def _ones_from(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many ones stand in a row from bit `at` of each word on, up to the word's end."""
+    rest = ~(words >> at.astype(U))
+    return np.minimum(np.bitwise_count((rest & (U(0) - rest)) - ONE).astype(np.int64), 64 - at)
 
 
 class EliasFano:
@@ -36,6 +44,7 @@ class EliasFano:
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.bits, self.low, self.high, self.zeros = n, bits, low, high, zeros
+        self._ones: np.ndarray | None = None
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -81,36 +90,43 @@ class EliasFano:
         rest = np.where(shift > 0, self.low[word + 1] << ((U(64) - shift) & LOW6), U(0))
         return (first | rest) & U((1 << self.bits) - 1)
 
-    def _start(self, top: np.ndarray) -> np.ndarray:
-        """How many values have a smaller high part: the ones before the top-th zero ends them."""
-        k = top - 1  # the zero that ends the high part before
-        word = np.searchsorted(self.zeros, k, "right") - 1
-        word = np.clip(word, 0, len(self.high) - 1)
-        at = word * 64 + select_in_word(~self.high[word], np.maximum(k, 0) - self.zeros[word])
-        return np.where(top > 0, at - k, 0)
+    def _bucket(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions [start, end) of the values with each high part: the ones between two zeros."""
+        k = np.maximum(top - 1, 0)  # the zero that ends the high part before
+        word = np.clip(np.searchsorted(self.zeros, k, "right") - 1, 0, len(self.high) - 1)
+        bit = select_in_word(~self.high[word], k - self.zeros[word]) + 1
+        word, bit = np.where(top > 0, word, 0), np.where(top > 0, bit, 0)
+        start = word * 64 + bit - top
+        word, bit = word + (bit >> 6), bit & 63
+        run = np.where(word < len(self.high), _ones_from(self.high[np.minimum(word, len(self.high) - 1)], bit), 0)
+        end = start + run
+        on = np.nonzero((bit + run == 64) & (word < len(self.high) - 1))[0]  # the ones run on into the next word
+        while len(on):
+            word[on] += 1
+            run = _ones_from(self.high[word[on]], np.zeros(len(on), np.int64))
+            end[on] += run
+            on = on[(run == 64) & (word[on] < len(self.high) - 1)]
+        return np.minimum(start, self.n), np.minimum(end, self.n)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at positions i."""
         i = np.asarray(i, np.int64)
-        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
-        word = np.searchsorted(ones, i, "right") - 1
-        at = word * 64 + select_in_word(np.ascontiguousarray(self.high[word]), i - ones[word])
+        if self._ones is None:
+            self._ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
+        word = np.searchsorted(self._ones, i, "right") - 1
+        at = word * 64 + select_in_word(self.high[word], i - self._ones[word])
         return ((at - i).astype(U) << U(self.bits)) | self._low(i)
 
-    def successor(self, values: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """Position of the first entry >= each value, looked for within [lo, hi) if given."""
-        values = np.asarray(values, U)
-        if not len(values):
-            return np.zeros(0, np.int64)
+    def _search(self, values: np.ndarray, lo: np.ndarray | None, hi: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of the first entries >= the values, ends of the values' buckets, and the values' low bits."""
         tops = (values >> U(self.bits)).astype(np.int64)
         last = int(self.zeros[-1]) - 1
-        inside = np.minimum(tops, last)
-        start = np.minimum(self._start(inside), self.n)
-        end = np.minimum(self._start(np.minimum(inside + 1, last)), self.n)
-        end = np.where(tops >= last, self.n, end)
+        start, end = self._bucket(np.minimum(tops, last))
+        beyond = tops >= last
+        start, end = np.where(beyond, self.n, start), np.where(beyond, self.n, end)
         if lo is not None:
             start, end = np.clip(start, lo, hi), np.clip(end, lo, hi)
-        part = values & U((1 << self.bits) - 1)
+        part, stop = values & U((1 << self.bits) - 1), end.copy()
         active = np.nonzero(start < end)[0]
         while len(active):
             mid = (start[active] + end[active]) >> 1
@@ -118,14 +134,21 @@ class EliasFano:
             start[active[less]] = mid[less] + 1
             end[active[~less]] = mid[~less]
             active = active[start[active] < end[active]]
-        return start
+        return start, stop, part
+
+    def successor(self, values: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Position of the first entry >= each value, looked for within [lo, hi) if given."""
+        values = np.asarray(values, U)
+        return self._search(values, lo, hi)[0] if len(values) else np.zeros(0, np.int64)
 
     def find(self, values: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """Position of each value, -1 where it is not in the sequence."""
+        """Position of each value, -1 where it is not in the sequence: the successor if it lies in the value's bucket and has its low bits."""
         values = np.asarray(values, U)
-        at = self.successor(values, lo, hi)
-        if not self.n:
+        if not len(values) or not self.n:
             return np.full(len(values), -1, np.int64)
-        top = np.minimum(at, self.n - 1)
-        same = self.get(top) == values
-        return np.where((at < (self.n if hi is None else hi)) & same, at, -1)
+        at, stop, part = self._search(values, lo, hi)
+        found = np.nonzero(at < stop)[0]
+        same = self._low(at[found]) == part[found]
+        out = np.full(len(values), -1, np.int64)
+        out[found[same]] = at[found[same]]
+        return out

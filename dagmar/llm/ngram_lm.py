@@ -29,7 +29,9 @@ levels, each in flat files below the shared folder that workers memory-map:
   computed when a text is scored.
 
 A context with a large share of all tokens is spread over the bigram shards by
-its successors. Workers keep a bounded memo of words.
+its successors. A shard is built by one task; shards hold a fixed amount of
+training text, so that there are more of them, not larger ones, for more text.
+Words stand for their 64-bit hashes: counts are exact unless two words share one.
 
 Defined cases: a null text counts as empty and has the end token alone; a null
 id counts as an empty id text; without training documents every token is
@@ -44,15 +46,15 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagmar.llm.common import LOWER_BYTES, id_crc32, map_bytes, shared_dir, table, write_bytes
+from dagmar.llm.common import id_crc32, map_bytes, shared_dir, slices, table, write_bytes
 from dagmar.llm.elias_fano import EliasFano
 
-#: Bytes of training text for each shard of either level; words a worker remembers; token pairs or words counted before they are sent.
-WORD_SHARD, PAIR_SHARD, MEMO, FLUSH = 64 << 20, 48 << 20, 400_000, 3_000_000
+#: Bytes of training text for each shard of either level; bytes of text read at a time; words or token pairs held before they are sent.
+WORD_SHARD, PAIR_SHARD, SLICE, HELD_WORDS, HELD_PAIRS = 64 << 20, 24 << 20, 4 << 20, 1 << 20, 1 << 21
 #: log10 of a probability in [-FLOOR, 0] is kept in steps of FLOOR / 65535.
 FLOOR = 16.0
 #: Successors of a hot context are spread over so many groups.
@@ -73,12 +75,48 @@ def unquantise(codes: np.ndarray) -> np.ndarray:
     return codes * (-FLOOR / 65535)
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(LOWER_BYTES).split() if text else []
-
-
-def _digest(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many words each text has, all words in a row as places in the distinct ones, and those; A-Z in lower case. Arrow's ASCII white space is exactly what parts words."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, sizes = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    there = np.asarray(pc.binary_length(flat)) > 0  # white space at either end leaves an empty part there
+    if not there.all():
+        upto = np.concatenate([[0], np.cumsum(there)])
+        ends = np.cumsum(sizes)
+        sizes = upto[ends] - upto[ends - sizes]
+        flat = flat.filter(pa.array(there))
+    coded = flat.dictionary_encode()
+    return sizes, np.asarray(coded.indices).astype(np.int64), coded.dictionary
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit numbers: multiply and xor-shift by turns."""
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    return x ^ (x >> np.uint64(31))
+
+
+def digests(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, which is not empty: the sum of its bytes, each times a random number of its place, mixed with the length."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    offsets = np.frombuffer(words.buffers()[1], kind)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    places = _mixed(np.arange(1, int(sizes.max()) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    terms = (raw.astype(np.uint64) + np.uint64(1)) * places[np.arange(len(raw)) - np.repeat(starts, sizes)]
+    return _mixed(np.add.reduceat(terms, starts) + sizes.astype(np.uint64))
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(keys)]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], back
 
 
 def _pad(raw: bytes) -> bytes:
@@ -132,6 +170,13 @@ def _at(raw: np.ndarray, where: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fitting(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits, or an error if one is beyond that."""
+    if len(counts) and int(counts.max()) >= 1 << 32:
+        raise OverflowError("an n-gram occurs more than 2**32 times")
+    return counts.astype(np.uint32)
+
+
 def _discount(once: int, twice: int) -> float:
     return min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95)
 
@@ -158,12 +203,6 @@ def _triples(tab: pa.Table, pairs: np.ndarray, vocabulary: int, slices: int = 8)
     return np.concatenate([k for k, _ in out]), np.concatenate([c for _, c in out])
 
 
-def _batches(batches, step: int = 512):
-    for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
-
-
 class Words:
     """The word level: number and count of a word by its hash."""
 
@@ -202,41 +241,25 @@ def shard_start(s: int, n: int) -> int:
     return -(-(s << 32) // n) << 32
 
 
-class Reader(dict):
-    """word -> its place in a growing list of word numbers and counts, for a bounded number of words."""
-
-    def __init__(self, words: Words):
-        self.words, self.new, self.number, self.count = words, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        at = len(self)
-        self[word] = at
-        self.new.append(_digest(word))
-        return at
+def read(words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many words each text has, and all words' numbers (-1: unknown) and counts in a row."""
+    sizes, at, distinct = words_of(texts)
+    numbers = words.numbers(digests(distinct))
+    return sizes, numbers[at], words.counts(numbers)[at]
 
-    def read(self, texts: list[bytes | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """Numbers of words by text, and all words' numbers (-1: unknown) and counts in a row."""
-        if len(self) > MEMO:
-            self.clear()
-            self.new, self.number, self.count = [], self.number[:0], self.count[:0]
-        split = [words_of(t) for t in texts]
-        at = np.fromiter((self[w] for ws in split for w in ws), np.int64, sum(map(len, split)))
-        if self.new:
-            numbers = self.words.numbers(np.array(self.new, np.uint64))
-            self.number, self.count, self.new = np.concatenate([self.number, numbers]), np.concatenate([self.count, self.words.counts(numbers)]), []
-        return [len(ws) for ws in split], self.number[at], self.count[at]
 
-
-def with_ends(sizes: list[int], values: np.ndarray, end) -> np.ndarray:
+def with_ends(sizes: np.ndarray, values: np.ndarray, end) -> np.ndarray:
     """values with one more entry behind those of each text."""
-    ends = np.cumsum(sizes) if len(sizes) else np.zeros(0, np.int64)
-    return np.insert(values, ends, end)
+    out = np.full(len(values) + len(sizes), end, values.dtype)
+    own = np.ones(len(out), bool)
+    own[np.cumsum(sizes + 1) - 1] = False
+    out[own] = values
+    return out
 
 
-def contexts(sizes: list[int], tokens: np.ndarray, end: int) -> np.ndarray:
+def contexts(tokens: np.ndarray, end: int) -> np.ndarray:
     """The token before each token; the end token before a text's first."""
-    before = np.concatenate([[end], tokens[:-1]]) if len(tokens) else tokens
-    return before
+    return np.concatenate([[end], tokens[:-1]]) if len(tokens) else tokens
 
 
 def route(context: np.ndarray, token: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
@@ -276,13 +299,17 @@ class Pairs:
             if shard is None or not len(own):
                 continue
             contexts_, pointer, successor, weights, probabilities = shard
-            rank = contexts_.find(context[own].astype(np.uint64))
-            own, rank = own[rank >= 0], rank[rank >= 0]
+            distinct, back = _ranked(context[own])
+            ranks = contexts_.find(distinct.astype(np.uint64))
+            ends = pointer.get(np.concatenate([np.maximum(ranks, 0), np.maximum(ranks, 0) + 1])).astype(np.int64).reshape(2, -1)
+            rank = ranks[back]
+            has = rank >= 0
+            own, rank, back = own[has], rank[has], back[has]
             backoff[own] = unquantise(weights[rank])
-            own, rank = own[token[own] >= 0], rank[token[own] >= 0]
+            has = token[own] >= 0
+            own, rank, back = own[has], rank[has], back[has]
             if len(own):
-                lo, hi = pointer.get(rank).astype(np.int64), pointer.get(rank + 1).astype(np.int64)
-                at = successor.find((rank * self.vocabulary + token[own]).astype(np.uint64), lo, hi)
+                at = successor.find((rank * self.vocabulary + token[own]).astype(np.uint64), ends[0][back], ends[1][back])
                 own, at = own[at >= 0], at[at >= 0]
                 known[own], place[own] = unquantise(probabilities[at]), (s << PLACE) + at
         if len(self.hot):
@@ -320,7 +347,8 @@ class Triples:
                 continue
             pointer, successor, counts, seen = shard
             rank = place[own] & ((1 << PLACE) - 1)
-            lo, hi = pointer.get(np.concatenate([rank, rank + 1])).astype(np.int64).reshape(2, -1)
+            distinct, back = _ranked(rank)
+            lo, hi = pointer.get(np.concatenate([distinct, distinct + 1])).astype(np.int64).reshape(2, -1)[:, back]
             has = hi > lo
             own, rank, lo, hi = own[has], rank[has], lo[has], hi[has]
             total = seen[rank].astype(np.float64)
@@ -334,31 +362,43 @@ class Triples:
         return own_part, weight
 
 
-def _count_words(train: DataFrame, shards: int) -> DataFrame:
+def count_words(batches, shards: int):
+    """Blocks (shard, keys, counts) of the words of text batches, their hashes sorted."""
+    keys, counts, fresh = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def merged():
+        k, c = np.concatenate([keys, *(x[0] for x in fresh)]), np.concatenate([counts, *(x[1] for x in fresh)])
+        fresh.clear()
+        order = np.argsort(k)
+        return _runs(k[order], c[order])
+
+    def flush():
+        where = shard_of(keys, shards)
+        cuts = np.searchsorted(where, np.arange(shards + 1))
+        blocks = [(s, *_block(keys[a:b], counts[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+        return pa.RecordBatch.from_arrays([pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary()), pa.array([b[2] for b in blocks], pa.binary())], ["shard", "keys", "counts"])
+
+    for some in slices(batches, 0, SLICE):
+        _, at, distinct = words_of(some.column(0))
+        fresh.append((digests(distinct), np.bincount(at, minlength=len(distinct))))
+        if sum(len(k) for k, _ in fresh) > HELD_WORDS:
+            keys, counts = merged()
+            if len(keys) > HELD_WORDS:
+                yield flush()
+                keys, counts = keys[:0], counts[:0]
+    keys, counts = merged()
+    if len(keys):
+        yield flush()
+
+
+def _some(function):
+    """function for all rows of a partition, unless there are none."""
+
     def run(batches):
-        def flush():
-            if not seen:
-                return
-            hashes = np.fromiter(map(_digest, seen), np.uint64, len(seen))
-            counts = np.fromiter(seen.values(), np.int64, len(seen))
-            order = np.argsort(hashes)
-            hashes, counts = _runs(hashes[order], counts[order])
-            where = shard_of(hashes, shards)
-            cuts = np.searchsorted(where, np.arange(shards + 1))
-            blocks = [(s, *_block(hashes[a:b], counts[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-            seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks]), pa.array([b[2] for b in blocks])], ["shard", "keys", "counts"])
-
-        seen: dict[bytes, int] = {}
-        for some in _batches(batches):
-            for text in some.column(0).to_pylist():
-                for w in words_of(text):
-                    seen[w] = seen.get(w, 0) + 1
-            if len(seen) > FLUSH // 4:
-                yield from flush()
-        yield from flush()
+        held = [b for b in batches if b.num_rows]
+        return function(held) if held else iter(())
 
-    return train.select("text").mapInArrow(run, "shard int, keys binary, counts binary")
+    return run
 
 
 def build(spark: SparkSession, docs: DataFrame, order: int = 2) -> dict:
@@ -366,12 +406,13 @@ def build(spark: SparkSession, docs: DataFrame, order: int = 2) -> dict:
     if order not in (2, 3):
         raise ValueError(f"order {order} is neither 2 nor 3")
     folder = shared_dir(spark)
-    train = docs.where(~held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    train = docs.where(~held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).alias("text"))
     size, texts = train.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     size, texts = size or 0, texts or 0
     word_shards, pair_shards = max(4, -(-size // WORD_SHARD)), max(4, -(-size // PAIR_SHARD))
 
-    def word_file(tab: pa.Table) -> pa.Table:
+    def word_file(batches):
+        tab = pa.Table.from_batches(batches)
         s = tab["shard"][0].as_py()
         hashes, counts = _merged(tab)
         lo, hi = shard_start(s, word_shards), shard_start(s + 1, word_shards)
@@ -379,9 +420,11 @@ def build(spark: SparkSession, docs: DataFrame, order: int = 2) -> dict:
         write_bytes(f"{folder}/words-{s:05d}", *(p.tobytes() for p in coded.parts()), counts.tobytes())
         edge = max(1, int(counts.sum()) // (4 * pair_shards))
         frequent = np.nonzero(counts > edge)[0]
-        return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(hashes)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64()), "at": pa.array([frequent.tolist()], pa.list_(pa.int64())), "c": pa.array([counts[frequent].tolist()], pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(hashes)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([frequent.tolist()], pa.list_(pa.int64())), pa.array([counts[frequent].tolist()], pa.list_(pa.int64()))], ["shard", "n", "total", "at", "c"])
 
-    made = _count_words(train, word_shards).groupBy("shard").applyInArrow(word_file, "shard int, n long, total long, at array<long>, c array<long>").collect()  # one row per shard, at most 4 * pair_shards words in each
+    counted = train.mapInArrow(lambda batches: count_words(batches, word_shards), "shard int, keys binary, counts binary")
+    # one shard to a task; one row per shard comes back, with at most 4 * pair_shards words
+    made = counted.repartitionById(word_shards, "shard").mapInArrow(_some(word_file), "shard int, n long, total long, at array<long>, c array<long>").collect()
     sizes, total = [0] * word_shards, texts
     for r in made:
         sizes[r["shard"]], total = r["n"], total + r["total"]
@@ -402,37 +445,45 @@ def build(spark: SparkSession, docs: DataFrame, order: int = 2) -> dict:
             held.clear()
             nexts.clear()
             if order > 2:
-                keys, rank, counts = np.unique(keys, return_inverse=True, return_counts=True)
-                triples, triple_counts = np.unique(rank[after >= 0] * vocabulary + after[after >= 0], return_counts=True)
+                keys, rank = _ranked(keys)
+                counts = np.bincount(rank, minlength=len(keys))
+                follows = after >= 0
+                triples, triple_counts = np.unique(rank[follows] * vocabulary + after[follows], return_counts=True)
             else:
                 keys, counts = np.unique(keys, return_counts=True)
                 triples = triple_counts = after
             where = route(keys // vocabulary, keys % vocabulary, hots, pair_shards)
-            above = triples // vocabulary
+            by, above = np.argsort(where, kind="stable"), triples // vocabulary
             there = where[above]
-            for s in np.unique(where):
-                own, mine = where == s, there == s
+            by3 = np.argsort(there, kind="stable")
+            cuts, cuts3 = (np.searchsorted(x, np.arange(pair_shards + 1)) for x in (where[by], there[by3]))
+            local = np.empty(len(keys), np.int64)
+            for s in range(pair_shards):
+                own, mine = by[cuts[s] : cuts[s + 1]], by3[cuts3[s] : cuts3[s + 1]]
+                if not len(own):
+                    continue
+                local[own] = np.arange(len(own))
                 k, c = _block(keys[own].astype(np.uint64), counts[own])
-                local = np.cumsum(own) - 1
-                n, m = _block((local[above[mine]] * vocabulary + triples[mine] % vocabulary).astype(np.uint64), triple_counts[mine]) if mine.any() else (b"", b"")
-                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([k]), pa.array([c]), pa.array([n]), pa.array([m])], ["shard", "keys", "counts", "next", "next_counts"])
-
-        reader, held, nexts = Reader(Words(folder, sizes)), [], []
-        for some in _batches(batches):
-            lengths, numbers, _ = reader.read(some.column(0).to_pylist())
-            tokens = with_ends(lengths, numbers, end)
-            held.append(contexts(lengths, tokens, end) * vocabulary + tokens)
+                n, m = _block((local[above[mine]] * vocabulary + triples[mine] % vocabulary).astype(np.uint64), triple_counts[mine]) if len(mine) else (b"", b"")
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([k]), pa.array([c]), pa.array([n]), pa.array([m])], ["shard", "keys", "counts", "next", "next_counts"])
+
+        words, held, nexts = Words(folder, sizes), [], []
+        for some in slices(batches, 0, SLICE):
+            lengths, at, distinct = words_of(some.column(0))
+            tokens = with_ends(lengths, words.numbers(digests(distinct))[at], end)
+            held.append(contexts(tokens, end) * vocabulary + tokens)
             if order > 2:
                 nexts.append(np.where(tokens != end, np.append(tokens[1:], -1), -1))  # nothing follows the end token
-            if sum(map(len, held)) > FLUSH:
+            if sum(map(len, held)) > HELD_PAIRS:
                 yield from flush()
         if held:
             yield from flush()
 
-    def pair_file(tab: pa.Table) -> pa.Table:
+    def pair_file(batches):
+        tab = pa.Table.from_batches(batches)
         s = tab["shard"][0].as_py()
         keys, counts = _merged(tab)
-        write_bytes(f"{folder}/counts-{s:05d}", *(p.tobytes() for p in EliasFano.of(keys, vocabulary * vocabulary).parts()), counts.astype(np.uint32).tobytes())
+        write_bytes(f"{folder}/counts-{s:05d}", *(p.tobytes() for p in EliasFano.of(keys, vocabulary * vocabulary).parts()), _fitting(counts).tobytes())
         context = (keys // np.uint64(vocabulary)).astype(np.int64)
         mine, n = np.unique(context[np.isin(context, hots)], return_counts=True)
         once, twice = int((counts == 1).sum()), int((counts == 2).sum())
@@ -446,9 +497,11 @@ def build(spark: SparkSession, docs: DataFrame, order: int = 2) -> dict:
                 *(p.tobytes() for p in EliasFano.of(triples, len(keys) * vocabulary).parts()),
                 *_small(triple_counts),
             )
-        return pa.table({"shard": pa.array([s], pa.int32()), "once": pa.array([once], pa.int64()), "twice": pa.array([twice], pa.int64()), "once3": pa.array([int((triple_counts == 1).sum())], pa.int64()), "twice3": pa.array([int((triple_counts == 2).sum())], pa.int64()), "hot": pa.array([mine.tolist()], pa.list_(pa.int64())), "types": pa.array([n.tolist()], pa.list_(pa.int64()))})
+        once3, twice3 = int((triple_counts == 1).sum()), int((triple_counts == 2).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.int64()) for x in (once, twice, once3, twice3)), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in (mine, n))], ["shard", "once", "twice", "once3", "twice3", "hot", "types"])
 
-    pairs = train.mapInArrow(count_pairs, "shard int, keys binary, counts binary, next binary, next_counts binary").groupBy("shard").applyInArrow(pair_file, "shard int, once long, twice long, once3 long, twice3 long, hot array<long>, types array<long>").collect()  # one row per shard
+    counted = train.mapInArrow(count_pairs, "shard int, keys binary, counts binary, next binary, next_counts binary")
+    pairs = counted.repartitionById(pair_shards, "shard").mapInArrow(_some(pair_file), "shard int, once long, twice long, once3 long, twice3 long, hot array<long>, types array<long>").collect()  # one row per shard
     model["discount"] = discount = _discount(sum(r["once"] for r in pairs), sum(r["twice"] for r in pairs))
     model["discount3"] = _discount(sum(r["once3"] for r in pairs), sum(r["twice3"] for r in pairs))
     types = dict.fromkeys(hot, 0)
@@ -469,7 +522,11 @@ def build(spark: SparkSession, docs: DataFrame, order: int = 2) -> dict:
         own, start, n = np.unique(context, return_index=True, return_counts=True)
         rank = np.repeat(np.arange(len(own)), n)
         seen = np.where(own == end, texts, words.counts(np.where(own == end, -1, own))).astype(np.float64)
-        kinds = np.array([types.get(c, k) for c, k in zip(own.tolist(), n.tolist(), strict=True)], np.float64)
+        kinds = n.astype(np.float64)
+        if len(hots):
+            at = np.minimum(np.searchsorted(hots, own), len(hots) - 1)
+            is_hot = hots[at] == own
+            kinds[is_hot] = np.array([types[c] for c in hot], np.float64)[at[is_hot]]
         weight = discount * kinds / seen
         c = np.where(token == end, texts, words.counts(np.where(token == end, -1, token)))
         base = (c + 0.5) / (total + 0.5 * (vocabulary + 1))
@@ -498,36 +555,34 @@ def build(spark: SparkSession, docs: DataFrame, order: int = 2) -> dict:
 class Scorer:
     def __init__(self, model: dict):
         self.model = model
-        self.reader = Reader(Words(model["folder"], model["sizes"]))
+        self.words = Words(model["folder"], model["sizes"])
         self.pairs = Pairs(model["folder"], model["pair_shards"], np.array(model["hot"], np.int64), np.array(model["hot_backoff"]), max(1, model["vocabulary"]))
         self.triples = Triples(model["folder"], model["pair_shards"], model["discount3"], max(1, model["vocabulary"])) if model["order"] > 2 else None
 
-    def score(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each text."""
         m = self.model
-        lengths, numbers, counts = self.reader.read(texts)
+        lengths, numbers, counts = read(self.words, texts)
         trained = m["texts"] > 0
         tokens = with_ends(lengths, numbers, m["end"] if trained else -1)
         counts = with_ends(lengths, counts, m["texts"])
         base = np.log10((counts + 0.5) / (m["total"] + 0.5 * (m["vocabulary"] + 1)))
-        context = contexts(lengths, tokens, m["end"] if trained else -1)
+        context = contexts(tokens, m["end"] if trained else -1)
         logs = base.copy()
         used = np.nonzero(context >= 0)[0]
         if trained and len(used):
             width = m["vocabulary"] + 1
-            pairs, back = np.unique(context[used] * width + tokens[used] + 1, return_inverse=True)
+            pairs, back = _ranked(context[used] * width + tokens[used] + 1)
             known, backoff, places = self.pairs.logs(pairs // width, pairs % width - 1)
             logs[used] = np.where(np.isnan(known[back]), backoff[back] + base[used], known[back])
             if self.triples:
-                place = np.full(len(tokens), -1, np.int64)
-                place[used] = places[back]
-                pair = np.full(len(tokens), -1, np.int64)
-                pair[used] = back
+                place, pair = np.full(len(tokens), -1, np.int64), np.full(len(tokens), -1, np.int64)
+                place[used], pair[used] = places[back], back
                 third = 1 + np.nonzero((place[:-1] >= 0) & (tokens[:-1] != m["end"]))[0]
-                triples, first, back = np.unique(pair[third - 1] * width + tokens[third] + 1, return_index=True, return_inverse=True)
-                own, weight = self.triples.parts(place[third[first] - 1], triples % width - 1)
+                triples, back = _ranked(pair[third - 1] * width + tokens[third] + 1)
+                own, weight = self.triples.parts(places[triples // width], triples % width - 1)
                 logs[third] = np.log10(own[back] + weight[back] * 10.0 ** logs[third])
-        sizes = np.array(lengths, np.int64) + 1
+        sizes = lengths + 1
         starts = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
         return sizes, add((counts > 0).astype(np.int64)), add(base), add(logs)
@@ -538,11 +593,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         scorer = Scorer(model)
-        for some in _batches(batches):
-            n, known, base, logs = scorer.score(some.column(2).to_pylist())
+        for some in slices(batches, 2, SLICE):
+            n, known, base, logs = scorer.score(some.column(2))
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(list(repeat(model["total"], len(n))), pa.int64()), pa.array(base, pa.float64()), pa.array(logs, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
