@@ -206,12 +206,75 @@ def test_language_id_held_out_accuracy(spark):
 
 
 def test_language_id_backs_off():
-    model = language_id.Model([("en", "the", 9), ("fr", "le", 9)], [("en", "ing>", 5), ("en", "g>", 5), ("fr", "eau>", 5), ("fr", "u>", 5), ("fr", "e", 1)])
-    predict = language_id.Predictor(model).predict
+    model = language_id.Model.of([("en", "the", 9), ("fr", "le", 9)], [("en", "ing>", 5), ("en", "g>", 5), ("fr", "eau>", 5), ("fr", "u>", 5), ("fr", "e", 1)])
+    predict = lambda t: language_id.Predictor(model).predict([t])[0]
     assert predict("the the")[0] == "en" and predict("walking")[0] == "en" and predict("bateau chateau")[0] == "fr"
     assert predict("zzz") == ("en", 0.5) and predict("12 .") == ("und", 0.0) and predict(None) == ("und", 0.0)
 
 
+def brute_languages(rows):
+    """doc_id, lang_pred and score of every row, by plain counting."""
+    import regex
+
+    split = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    words, levels = defaultdict(Counter), [defaultdict(Counter) for _ in range(6)]
+    for r in rows:
+        if fake(r["doc_id"], 5) and r["lang"]:
+            words[r["lang"]].update(split(r["text"]))
+    langs = sorted(k for k in words if words[k])
+
+    def grams(w, n):
+        return [g for g in (f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)) if g not in "<>"]
+
+    for lang in langs:
+        levels[0][lang] = words[lang]
+        for w, c in words[lang].items():
+            for n in range(1, 6):
+                for g in set(grams(w, n)):
+                    levels[n][lang][g] += c
+    keys = [set().union(*(level[k] for k in langs)) for level in levels]
+
+    def log(n, key, lang):
+        return math.log((levels[n][lang][key] + 0.5) / (sum(levels[n][lang].values()) + 0.5 * (len(keys[n]) + 1)))
+
+    def score(w, lang):
+        if w in keys[0]:
+            return log(0, w, lang)
+        for n in range(5, 0, -1):
+            if found := [g for g in grams(w, n) if g in keys[n]]:
+                return sum(log(n, g, lang) for g in found) / len(found)
+        return 0.0
+
+    memo = {}
+    for r in rows:
+        own = split(r["text"])
+        if not own or not langs:
+            yield r["doc_id"], "und", 0.0
+            continue
+        totals = [sum(memo.setdefault((w, k), score(w, k) if (w, k) not in memo else memo[w, k]) for w in own) for k in langs]
+        best = max(range(len(langs)), key=lambda i: (totals[i], -i))
+        yield r["doc_id"], langs[best], 1 / sum(math.exp((t - totals[best]) / len(own) ** 0.5) for t in totals)
+
+
+def test_language_id_against_brute_force(spark, docs, tmp_path):
+    rows = rows_of(docs) + [{"doc_id": 900 + i, "text": t, "lang": None, "source": "x"} for i, t in enumerate(["gardenings lumière", "x² y_z 3été", "Ünbekannt qqq", "w" * 200, "e\u0301te\u0301"])]
+    frame = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in rows], "doc_id long, text string, lang string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: (str(r[0]), r[1], r[2])
+    got = sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.op6(spark, str(tmp_path)).collect()), key=key)
+    want = sorted(brute_languages(rows), key=key)
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-9), (a, b)
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('word ', id) AS text", "if(id % 4 = 0, 'fr', 'en') AS lang")
+    for bounds in ((200, 1 << 30), (1 << 30, 200 * 9)):
+        drawn = Counter(r["lang"] for r in language_id._sample(docs, *bounds).collect())
+        assert 100 < drawn["en"] < 260 and 100 < drawn["fr"] < 260
+
+
 def brute_fingerprint(text):
     words = WORDS.findall(lower(text))
     if not words:
