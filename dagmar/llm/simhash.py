@@ -3,12 +3,16 @@
 Every text gets a 64-bit fingerprint; copies of a fingerprint are one node with
 its smallest doc_id. Fingerprints within ``LINK`` = 2 bits are linked:
 
-* two that differ in at most 2 bits agree in 2 of 4 blocks of 16 bits, so equal
-  values of any 2 blocks (6 tables) make them meet in a bucket;
-* the pivot distance table holds each fingerprint's Hamming distances to
-  ``PIVOTS`` reference fingerprints. A pair that meets is discarded if any of
-  these coordinates differ by more than 2 (the triangle inequality); the
-  survivors are verified by their own distance;
+* the pivot distance table holds each fingerprint's Hamming distances to 65
+  reference fingerprints: one base and, in each of 4 families, 16 that differ
+  from the base in some bits of the family's own 16. Fingerprints within 2 bits
+  of each other differ within the bits of 2 families at most, so their distances
+  to the references of at least 2 families are, less that to the base, all equal:
+  rows that agree in the coordinates of 2 families (6 tables) are candidates.
+  (Distances to references without such families are near 32 for almost all
+  fingerprints and make no join key.);
+* a candidate pair is discarded if any of 17 coordinates differ by more than 2
+  (the triangle inequality); the survivors are verified by their own distance;
 * a bucket of more than ``BUCKET`` fingerprints makes no pairs. Two
   fingerprints differ in at most 2 bits exactly if some value is within 1 bit of
   both, so each member names its 65 values within 1 bit, and those that name a
@@ -21,31 +25,38 @@ Defined cases: a null text counts as empty; a text without words has
 fingerprint zero, linked like any other; one of fewer than three words has its
 whole sequence as only shingle; a null doc_id is no component's name unless the
 component has no other; repeated rows each get a row; an empty table gives an
-empty result; of docs only doc_id and text are looked at.
+empty result; of docs only doc_id and text are looked at, whatever the names of
+other columns.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagmar.llm.common import LOWER_BYTES, materialise, table
+from dagmar.llm.common import LOWER_BYTES, materialise, slices, table
 from dagmar.operators.graph import connected_components
 
-SHINGLE, SEED, LINK, PIVOTS, BUCKET = 3, 42, 2, 16, 64
-BLOCKS = 4
+SHINGLE, SEED, LINK, BUCKET = 3, 42, 2, 64
+FAMILIES, MEMBERS, SALTS = 4, 16, 16
+#: Coordinates that discard pairs: the base's and the first few of each family.
+SHOWN = 4
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: References spread over the space by the hash of their number.
-REFERENCES = [signed(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=SEED)) for i in range(PIVOTS)]
+def _random(i: int) -> int:
+    return xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=SEED)
+
+
+#: The base reference, and those that differ from it in bits of one family each; all by the hash of their number.
+BASE = _random(0)
+REFERENCES = [[BASE ^ ((_random(1 + f * MEMBERS + m) & 0xFFFF) << 16 * f) for m in range(MEMBERS)] for f in range(FAMILIES)]
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -85,21 +96,33 @@ def _differ(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _tables(fp: Column) -> list[Column]:
-    """A value for each choice of 2 of the 4 blocks."""
-    block = [F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(BLOCKS)]
-    return [F.struct(F.lit(i * BLOCKS + j).alias("tab"), F.shiftleft(block[i], 16).bitwiseOR(block[j]).alias("key")) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
+def distance_table(fps: DataFrame) -> DataFrame:
+    """fps (fp) with the distance to the base, `base`, and those to each family's references, `family` (arrays of bytes)."""
+    to = lambda r: _differ(F.col("fp"), F.lit(signed(r))).cast("byte")
+    return fps.select("fp", to(BASE).alias("base"), *(F.array(*map(to, family)).alias(f"family{f}") for f, family in enumerate(REFERENCES)))
+
+
+def _meeting(table: DataFrame, *more: str) -> DataFrame:
+    """A row for each choice of two families, with the key of their coordinates less the base's."""
+    less = lambda f: F.transform(f"family{f}", lambda d: d - F.col("base"))
+    keyed = table.select("*", *(F.xxhash64(less(f)).alias(f"key{f}") for f in range(FAMILIES)))
+    choices = [F.struct(F.lit(i * FAMILIES + j).alias("tab"), F.xxhash64(f"key{i}", f"key{j}").alias("key")) for i in range(FAMILIES) for j in range(i + 1, FAMILIES)]
+    return keyed.select("fp", *more, F.explode(F.array(*choices)).alias("m")).select("fp", *more, "m.tab", "m.key")
 
 
 def links(spark: SparkSession, fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (src, dst) between distinct fingerprints fp that have the same components as all pairs within 2 bits."""
-    dealt = fps.select("fp", F.explode(F.array(*_tables(F.col("fp")))).alias("b")).select("fp", "b.*")
-    full = dealt.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(spark, dealt.join(full, ["tab", "key"]))
-    pivots = [_differ(F.col("fp"), F.lit(r)).cast("byte").alias(f"p{i}") for i, r in enumerate(REFERENCES)]
-    few = met.where(F.col("n") <= bucket).select("tab", "key", "fp", *pivots)
-    left = few.select("tab", "key", F.col("fp").alias("src"), *(F.col(f"p{i}").alias(f"q{i}") for i in range(PIVOTS)))
-    furthest = F.greatest(*(F.abs(F.col(f"p{i}") - F.col(f"q{i}")) for i in range(PIVOTS)))
+    table = distance_table(fps)
+    coordinates = ["base", *(f"c{f}_{m}" for f in range(FAMILIES) for m in range(SHOWN))]
+    shown = table.select("*", *(F.element_at(f"family{f}", m + 1).alias(f"c{f}_{m}") for f in range(FAMILIES) for m in range(SHOWN)))
+    full = _meeting(table).groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # a key of many fingerprints is spread over salts
+    full = full.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    dealt = _meeting(shown, *coordinates).withColumn("salt", F.pmod("fp", F.lit(SALTS)))
+    met = materialise(spark, dealt.join(full, ["tab", "key", "salt"]).drop("salt"))
+    few = met.where(F.col("n") <= bucket).drop("n")
+    left = few.select("tab", "key", F.col("fp").alias("src"), *(F.col(c).alias(f"_{c}") for c in coordinates))
+    furthest = F.greatest(*(F.abs(F.col(c) - F.col(f"_{c}")) for c in coordinates))
     pairs = (
         left.join(few, ["tab", "key"])
         .where((F.col("src") < F.col("fp")) & (furthest <= LINK))
@@ -135,16 +158,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component: one row of each component."""
-    key = F.xxhash64("text")
-    marked = materialise(spark, fingerprints(docs, key.alias("_key")))
-    stay = (
-        marked.join(components(spark, marked), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("component").alias("_component")).agg(F.first("component_id").alias("_id"), F.min("_key").alias("_stays"))
-    )
-    whole = docs.withColumn("_key", key)
-    kept = whole.join(stay, whole["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_stays")))
-    return kept.dropDuplicates(["_component"]).select(*docs.columns)
+    """The rows of docs with the smallest doc_id of their component: one row of each component, whole, whatever its columns' names."""
+    key = lambda doc_id, text: F.xxhash64(doc_id, text)
+    marked = materialise(spark, fingerprints(docs, key("doc_id", "text").alias("key")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    by_print = marked.groupBy("fp").agg(first).select("fp", "first.*")
+    stay = by_print.join(components(spark, marked).drop("component_id"), "fp").groupBy("component").agg(first).select("component", "first.doc_id", "first.key")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.withColumn("key", key("row.doc_id", "row.text"))
+    found = rows.join(stay, "key").where(F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    # rows that agree in id and text have met by their key, so this is no further exchange
+    return found.dropDuplicates(["key", "component"]).select("row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
