@@ -16,8 +16,9 @@ most ``hot_texts`` texts can be that frequent, which bounds what is broadcast.
 
 Defined cases: a null text counts as empty; a null id is smaller than any
 other; of rows that agree in text and id any one stays; an empty table gives an
-empty result; other columns pass through, and those that are named like a
-result column are replaced by it.
+empty result; other columns pass through whatever their names, and those that
+are named like a result column are replaced by it (``first_of_each`` returns
+them as they are).
 """
 
 from __future__ import annotations
@@ -30,40 +31,56 @@ from dagmar.llm.common import lower_az, table
 PREFIX = 32
 
 
-def content_sort(docs: DataFrame, hot_texts: int = 100_000, least_hot: int = 64) -> DataFrame:
-    """Every row of docs with keep_id, group_size, kept and text_sha256."""
-    results = ("keep_id", "group_size", "kept", "text_sha256")
-    docs = docs.drop(*results)
-    text = lower_az(F.col("text"))
+RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
+
+
+def _judged(docs: DataFrame, hot_texts: int, least_hot: int) -> DataFrame:
+    """Every row of docs as a struct `row`, with the results."""
+    hash_ = lambda text: F.unhex(F.sha2(lower_az(F.col(text)), 256))
     hot_limit = max(least_hot, docs.count() // hot_texts)
     hot = (
-        docs.select(F.unhex(F.sha2(text, 256)).alias("_hash"), "doc_id")
-        .groupBy("_hash")
-        .agg(F.count("*").alias("_all"), F.max("doc_id").alias("_largest"))
-        .where(F.col("_all") > hot_limit)
+        docs.select(hash_("text").alias("hash"), "doc_id")
+        .groupBy("hash")
+        .agg(F.count("*").alias("all"), F.max("doc_id").alias("largest"))
+        .where(F.col("all") > hot_limit)
     )
-    salted = (
-        docs.withColumn("_hash", F.unhex(F.sha2(text, 256)))
-        .join(F.broadcast(hot), "_hash", "left")
-        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_all") / hot_limit)), F.lit(0)))
+    salt = lambda doc_id: F.coalesce(F.pmod(F.xxhash64(doc_id), F.ceil(F.col("all") / hot_limit)), F.lit(0))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    order = ("prefix", "hash", "salt")
+    dealt = (
+        rows.withColumn("hash", hash_("row.text"))
+        .join(F.broadcast(hot), "hash", "left")
+        .withColumn("salt", salt("row.doc_id"))
+        .withColumn("prefix", F.substring(lower_az(F.col("row.text")), 1, PREFIX))
+        .repartitionByRange(*order)
+        .withColumn("norm", lower_az(F.col("row.text")))
     )
-    order = ("_prefix", "_hash", "_salt")
-    dealt = salted.withColumn("_prefix", F.substring(text, 1, PREFIX)).repartitionByRange(*order).withColumn("_norm", text)
-    run = Window.partitionBy(*order, "_norm").orderBy(F.col("doc_id").desc_nulls_last())
+    run = Window.partitionBy(*order, "norm").orderBy(F.col("row.doc_id").desc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = dealt.select(
-        *docs.columns,
-        F.lower(F.hex("_hash")).alias("text_sha256"),
-        "_all",
-        F.coalesce("_largest", F.first("doc_id").over(whole)).alias("keep_id"),
-        F.coalesce("_all", F.count("*").over(whole)).alias("group_size"),
-        (F.row_number().over(run) == 1).alias("_head"),
-        F.row_number().over(run).alias("_n"),
-        F.col("_salt").alias("_piece"),
+        "row",
+        "all",
+        "salt",
+        F.lower(F.hex("hash")).alias("text_sha256"),
+        F.coalesce("largest", F.first("row.doc_id").over(whole)).alias("keep_id"),
+        F.coalesce("all", F.count("*").over(whole)).alias("group_size"),
+        (F.row_number().over(run) == 1).alias("head"),
     )
-    # a group whose ids are all null has its head in the first piece
-    kept = F.col("_head") & F.when(F.col("keep_id").isNull(), F.col("_all").isNull() | (F.col("_piece") == F.pmod(F.xxhash64(F.lit(None).cast("long")), F.ceil(F.col("_all") / hot_limit)))).otherwise(F.col("doc_id") == F.col("keep_id"))
-    return found.select(*docs.columns, "keep_id", "group_size", F.coalesce(kept, F.lit(False)).alias("kept"), "text_sha256")
+    # a group whose ids are all null has its head in the piece that null ids are dealt to
+    no_id = F.col("all").isNull() | (F.col("salt") == salt(F.lit(None).cast("long")))
+    kept = F.col("head") & F.when(F.col("keep_id").isNull(), no_id).otherwise(F.col("row.doc_id") == F.col("keep_id"))
+    return found.select("row", "keep_id", "group_size", F.coalesce(kept, F.lit(False)).alias("kept"), "text_sha256")
+
+
+def content_sort(docs: DataFrame, hot_texts: int = 100_000, least_hot: int = 64) -> DataFrame:
+    """Every row of docs with keep_id, group_size, kept and text_sha256."""
+    others = [c for c in docs.columns if c not in RESULTS]
+    return _judged(docs, hot_texts, least_hot).select(*(F.col("row").getField(c).alias(c) for c in others), *RESULTS)
+
+
+def first_of_each(docs: DataFrame, hot_texts: int = 100_000, least_hot: int = 64) -> DataFrame:
+    """The rows of docs that stay, with docs' own columns."""
+    return _judged(docs, hot_texts, least_hot).where("kept").select("row.*")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
