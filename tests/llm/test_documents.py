@@ -29,16 +29,6 @@ def fake(doc_id, mod):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % mod
 
 
-@pytest.fixture(scope="module")
-def tokenizer():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
-
-
 def test_encoder_equals_tokenizers(tokenizer):
     texts = ["", " ", "\n\n a  b\t", "l'été  n'est-ce pas?? 123 <|endoftext|> ", "日本語 🙂 x" * 3, "don't we'll", "\x00\x7f\xa0　end  "]
     for t in texts:
