@@ -7,20 +7,19 @@ read again as the next one's docs. All but the last return the columns of docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from dagmar.llm import best_fit, content_sort, language_id, pareto_mix, simhash
 from dagmar.llm.common import materialise, table
 
 
 def find_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, for which no language can be told, go."""
+    """Documents whose language the model doesn't predict go: those without a letter and those of which it knows nothing."""
     return language_id.known_language(spark, docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return content_sort.content_sort(docs).where(F.col("kept")).select(*docs.columns)
+    return content_sort.first_of_each(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
