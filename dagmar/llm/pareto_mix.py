@@ -1,49 +1,55 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
 
 Each source has a target of words. Its documents get ``floor(target / size)``
-certain whole copies; the rest of the target is a fixed-size sample. Every
-document draws a number u in (0, 1) from a hash of its id and is ranked by its
-random odds over its inclusion odds, ``u/(1-u) / (p/(1-p))`` with p the
-fraction left of target / size. The sample is taken by strata of documents of a
-source whose sizes have the same number of binary digits: each stratum has the
-fraction p of its words to give, and gives documents in rank order while they
-fit. What the strata of a source leave together is filled with further
-documents, from the largest stratum down, and by a last one if that brings the
-source nearer to its target. So a few very long documents don't decide how near
-a source comes.
-
-The order is never sorted as a whole. u falls into buckets of about
-``PER_BUCKET`` documents, counted in three levels of a histogram (64 buckets to
-one of the level above); each level finds the bucket in which a stratum's words
-run out and the next one looks at that bucket only. Whole buckets before the
-cut are taken, the cut bucket and those after it, ``NEAR`` together, one
-document at a time. Those are all that is ever gathered of a stratum.
-
-Defined cases: a null text has size 0; a null source is a source of its own,
-last in order; a source of size 0 has target 0; rows that share id, source and
-number of digits share a decision and count together; an empty table gives an
-empty result; of docs only doc_id, text and source are looked at.
+certain whole copies; the rest of the target, R words, is a sample without
+replacement, of a fixed size in words, with unequal inclusion odds:
+
+* a document's inclusion probability is p = min(1, k * measure(size)), with the
+  square root of the size as measure, so that a document's odds grow with its
+  size, but less than in proportion. k is such that the expected words are R:
+  sizes so large that p would exceed 1 are certain, and are split off from the
+  largest down until what is left of R, shared among the others, makes none
+  exceed 1. That is a running sum over a source's distinct sizes;
+* every document draws u in (0, 1) from a hash of its id and is ranked by its
+  random odds over its inclusion odds, (u / (1 - u)) / (p / (1 - p)). Ranks are
+  kept as v = rank / (1 + rank), in 52 bits;
+* the sample is the head of that order: a document is taken if more than half of
+  it lies within R words, so a source comes within half a document of its target.
+
+The order is never sorted as a whole. Where the words run out is found by a
+histogram over v of 2 ** ``LEVEL_BITS`` buckets, refined in the bucket of the
+cut until it is one value wide; a document is then judged by its own v. Rows
+that repeat an id share u, and if they meet at the cut, as many of them are
+taken as fit, told apart by their place in the partitions.
+
+Defined cases: a null text has size 0; a null id draws u from the text; a null
+source is a source of its own, last in order; a source of size 0 has target 0; a
+document of size 0 is never part of the sample; an empty table gives an empty
+result; of docs only doc_id, text and source are looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dagmar.llm.common import WORD, materialise, table
+from dagmar.llm.common import WORD, materialise, release, table
 
-PER_BUCKET, FAN_BITS, U_BITS, NEAR = 16, 6, 52, 3
-#: Up to so many strata the plan, a row of about 2 KB at most for each, is broadcast; beyond that it is joined by shuffle.
-BROADCAST_STRATA = 10_000
+V_BITS, LEVEL_BITS = 52, 13
+#: Up to so many sources the plan, a row of under 200 bytes for each, is broadcast; beyond that it is joined by shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column) -> Column:
+def draw(doc_id: Column, text: Column, seed: str = "") -> Column:
     """52 random bits of the id, never 0."""
-    return F.conv(F.substring(F.sha2(F.coalesce(doc_id.cast("string"), F.lit("")), 256), 1, 13), 16, 10).cast("long").bitwiseOR(F.lit(1))
+    key = F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), text, F.lit("")))
+    return F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("long").bitwiseOR(F.lit(1))
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -67,115 +73,111 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
     return src.select("source", "source_size", "n", F.least("cap", F.col("weight") * F.col("_level")).alias("target"))
 
 
-def _bucket(bits: Column, u: Column) -> Column:
-    return F.floor(u / F.pow(F.lit(2.0), U_BITS - bits)).cast("long")
+def _joined(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """rows with the plan's columns, whose names begin with an underscore."""
+    plan = plan.select(*(F.col(c).alias(f"_{c}") for c in plan.columns))
+    return rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def _digits(size: Column) -> Column:
-    """Binary digits of the size, 0 for 0."""
-    return F.length(F.bin(size)) * (size > 0).cast("int")
+def inclusion(sizes: DataFrame, targets: DataFrame, measure: Callable[[Column], Column]) -> DataFrame:
+    """targets with copies, left (R), and what gives each document its probability: factor (k), and certain, above which sizes have probability 1."""
+    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    plan = targets.withColumn("copies", copies).withColumn("left", F.greatest(F.col("target") - F.col("copies") * F.col("source_size"), F.lit(0.0)))
+    by_size = sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    down = Window.partitionBy("source").orderBy(F.col("size").desc())
+    own = (F.col("n") * F.col("size")).cast("double")
+    runs = by_size.select(
+        "source", "size",
+        F.coalesce(F.sum(own).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("above"),
+        F.sum(own * measure(F.col("size"))).over(down.rowsBetween(0, Window.unboundedFollowing)).alias("mass"),
+    )
+    runs = runs.join(plan.select(F.col("source").alias("_source"), "left"), F.col("source").eqNullSafe(F.col("_source")))
+    factor = (F.col("left") - F.col("above")) / F.col("mass")
+    least = runs.withColumn("factor", factor).where(F.col("factor") * measure(F.col("size")) <= 1).groupBy("source").agg(F.max_by("factor", "size").alias("factor"), F.max("size").alias("certain"))
+    found = least.withColumnRenamed("source", "_source")
+    return plan.join(found, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
-def _joined(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
-    plan = plan.withColumnsRenamed({"source": "_source", "digits": "_digits"})
-    return rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("digits") == F.col("_digits"))).drop("_source", "_digits")
+def _value(measure: Callable[[Column], Column]) -> Column:
+    """v of a row with u and size that is joined with the plan."""
+    p = F.when(F.col("size") > F.col("_certain"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("_factor") * measure(F.col("size"))))
+    u = F.col("u") / F.lit(float(1 << V_BITS))
+    rank = u * (1 - p)
+    return F.floor(rank / (rank + (1 - u) * p) * F.lit(float(1 << V_BITS))).cast("long")
 
 
-def mix_plan(spark: SparkSession, sizes: DataFrame, **how) -> tuple[DataFrame, bool]:
-    """The decision of every stratum, as one bounded row each, and whether there are few enough of them to broadcast."""
-    targets = source_targets(sizes, **how).withColumnRenamed("source", "_source")
-    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    left_over = F.greatest(F.col("target") - F.col("copies") * F.col("source_size"), F.lit(0.0))
-    strata = sizes.groupBy("source", "digits").agg(F.sum("size").alias("words"), F.count("*").alias("_n"))
-    plan = strata.join(targets.withColumn("copies", copies).withColumn("left_over", left_over), F.col("source").eqNullSafe(F.col("_source"))).select(
-        "source", "digits", "source_size", "target", "copies", "left_over",
-        F.when(F.col("source_size") > 0, F.col("left_over") * F.col("words") / F.col("source_size")).otherwise(F.lit(0.0)).alias("budget"),
-        F.greatest(F.ceil(F.log2(F.col("_n") / F.lit(float(PER_BUCKET)))), F.lit(0)).cast("int").alias("bits"),
-        F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("before"),
-    )
-    plan = materialise(spark, plan)
-    few = plan.count() <= BROADCAST_STRATA
-    key = lambda df: df.withColumnsRenamed({"source": "_source", "digits": "_digits"})
-    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("digits") == F.col("_digits"))
-    for level in (2, 1, 0):
-        rows = _joined(sizes, plan.select("source", "digits", "bits", "cut", "before", "budget"), few)
-        rows = rows.withColumn("_b", F.floor(_bucket(F.col("bits"), F.col("u")) / F.lit(float(1 << FAN_BITS * level))).cast("long"))
-        if level < 2:
-            rows = rows.where(F.floor(F.col("_b") / F.lit(float(1 << FAN_BITS))) == F.col("cut"))
-        in_stratum = Window.partitionBy("source", "digits").orderBy("_b")
-        seen = (
-            rows.groupBy("source", "digits", "_b").agg(F.sum("size").alias("_words"), F.first("budget").alias("_budget"), F.first("before").alias("_base"))
-            .withColumn("_to", F.col("_base") + F.sum("_words").over(in_stratum))
-            .where(F.col("_to") > F.col("_budget"))
-            .groupBy("source", "digits").agg(F.min(F.struct("_b", (F.col("_to") - F.col("_words")).alias("_before"))).alias("_cut"))
-        )
-        plan = materialise(spark, plan.join(key(seen), same, "left").select(
-            "source", "digits", "source_size", "target", "copies", "left_over", "budget", "bits",
-            F.coalesce("_cut._b", F.lit(0).cast("long")).alias("cut"), F.coalesce("_cut._before", "before").alias("before"),
-        ))
-    p = F.col("left_over") / F.col("source_size")
-    u = F.col("u") / F.lit(float(1 << U_BITS))
-    rank = (u / (1 - u)) / (p / (1 - p))
-    bucket = _bucket(F.col("bits"), F.col("u"))
-    near = _joined(sizes, plan, few).where((F.col("left_over") > 0) & (F.col("digits") > 0) & (bucket >= F.col("cut")) & (bucket < F.col("cut") + NEAR))
-    item = "struct<rank:double,u:bigint,doc_id:bigint,size:bigint>"
-    fits = lambda s, x: F.when(
-        x["size"] <= s["room"], F.struct((s["room"] - x["size"]).alias("room"), F.concat(s["taken"], F.array(x)).alias("taken"), s["left"].alias("left"))
-    ).otherwise(F.struct(s["room"].alias("room"), s["taken"].alias("taken"), F.concat(s["left"], F.array(x)).alias("left")))
-    none = F.array().cast(f"array<{item}>")
-    strata = (
-        near.groupBy("source", "digits", "u", "doc_id").agg(F.sum("size").alias("size"), F.first(rank).alias("rank"))
-        .groupBy("source", "digits").agg(F.array_sort(F.collect_list(F.struct("rank", "u", F.col("doc_id").cast("long").alias("doc_id"), "size"))).alias("order"))
-    )
-    strata = plan.join(key(strata), same, "left").drop("_source", "_digits").withColumn("order", F.coalesce("order", none))
-    strata = strata.withColumn("_own", F.aggregate("order", F.struct((F.col("budget") - F.col("before")).alias("room"), none.alias("taken"), none.alias("left")), fits))
-    # what each source's strata leave together goes to further documents, larger digits first
-    rest = strata.groupBy(F.col("source").alias("_source")).agg(
-        (F.first("left_over") - F.sum(F.col("budget") - F.col("_own.room"))).alias("_room"),
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("digits", F.col("_own.left").alias("left"))), asc=False), lambda d: d["left"])).alias("_order"),
-    )
-    filled = F.aggregate("_order", F.struct(F.col("_room").alias("room"), none.alias("taken"), none.alias("left")), fits)
-    off = lambda x: F.abs(x["size"] - F.col("_f.room"))
-    nearest = F.array_min(F.transform(F.filter("_f.left", lambda x: off(x) < F.col("_f.room")), lambda x: F.struct(off(x).alias("off"), x["u"].alias("u"), x["doc_id"].alias("doc_id"))))
-    ids = lambda a: F.transform(a, lambda x: F.struct(x["u"].alias("u"), x["doc_id"].alias("doc_id")))
-    rest = rest.withColumn("_f", filled).withColumn("_last", nearest).select("_source", F.concat(ids(F.col("_f.taken")), F.when(F.col("_last").isNull(), ids(none)).otherwise(F.array(F.struct("_last.u", "_last.doc_id")))).alias("_more"))
-    own = F.transform("order", lambda x: F.struct(x["u"].alias("u"), x["doc_id"].alias("doc_id")))
-    plan = strata.join(rest, F.col("source").eqNullSafe(F.col("_source"))).select(
-        *plan.columns, F.array_intersect(own, F.concat(ids(F.col("_own.taken")), F.col("_more"))).alias("picks")
-    )
-    return materialise(spark, plan), few
-
-
-def apply_plan(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
-    """rows (doc_id, source, u, size, digits and any others) with source_size, target, taken and _times, the copies taken."""
-    kept = [c for c in rows.columns if c not in ("source_size", "target", "taken")]
-    joined = _joined(rows.select(*kept), plan.select("source", "digits", *(F.col(c).alias(f"_{c}") for c in plan.columns if c not in ("source", "digits"))), few)
-    bucket = _bucket(F.col("_bits"), F.col("u"))
-    picked = (bucket >= F.col("_cut")) & (bucket < F.col("_cut") + NEAR) & F.exists("_picks", lambda x: (x["u"] == F.col("u")) & x["doc_id"].eqNullSafe(F.col("doc_id")))
-    extra = ((F.col("_left_over") > 0) & ((bucket < F.col("_cut")) | picked)).cast("long")
-    times = F.col("_copies") + extra
-    return joined.select(*kept, F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * times).alias("taken"), times.alias("_times"))
-
-
-def sized(docs: DataFrame, *more: Column) -> DataFrame:
-    size = words(F.col("text"))
-    return docs.select(*more, "doc_id", "source", draw(F.col("doc_id")).alias("u"), size.alias("size")).withColumn("digits", _digits(F.col("size")))
-
-
-def pareto_mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+def mix_plan(spark: SparkSession, sizes: DataFrame, measure: Callable[[Column], Column] = F.sqrt, **how) -> tuple[DataFrame, bool]:
+    """The decision of every source as one row, and whether there are few enough of them to broadcast.
+
+    cut: the v at which the words run out; quota: how many of the rows of that v are taken, of n.
+    """
+    plan = materialise(spark, inclusion(sizes, source_targets(sizes, **how).drop("n"), measure))
+    few = plan.count() <= BROADCAST_SOURCES
+    ranked = _joined(sizes.where("size > 0"), plan.where("left > 0").select("source", "left", "factor", "certain"), few)
+    ranked = materialise(spark, ranked.select("source", "size", F.col("_left").alias("left"), _value(measure).alias("v")))
+    cut = None
+    for shift in range(V_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
+        rows = ranked.select("source", "size", "left", F.shiftright("v", shift).alias("b"), F.lit(0).cast("long").alias("base"))
+        if cut is not None:
+            inside = _joined(ranked, cut.select("source", "b", "before"), few).where(F.shiftright("v", shift + LEVEL_BITS) == F.col("_b"))
+            rows = inside.select("source", "size", "left", F.shiftright("v", shift).alias("b"), F.col("_before").alias("base"))
+        upto = Window.partitionBy("source").orderBy("b")
+        buckets = rows.groupBy("source", "b").agg(F.sum("size").alias("words"), F.first("left").alias("left"), F.first("base").alias("base"), F.count("*").alias("n"), F.max("size").alias("size"))
+        buckets = buckets.withColumn("upto", F.col("base") + F.sum("words").over(upto)).where(F.col("upto") > F.col("left"))
+        found = buckets.groupBy("source").agg(F.min(F.struct("b", (F.col("upto") - F.col("words")).alias("before"), "left", "n", "size")).alias("at")).select("source", "at.*")
+        older, cut = cut, materialise(spark, found)
+        if older is not None:
+            release(older)
+    fit = F.floor((F.col("left") - F.col("before")) / F.col("size") + 0.5).cast("long")
+    ends = cut.select(F.col("source").alias("_source"), F.col("b").alias("cut"), F.least(fit, F.col("n")).alias("quota"), "n")
+    done = materialise(spark, plan.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source"))
+    release(ranked, cut, plan)
+    return done, few
+
+
+def apply_plan(spark: SparkSession, rows: DataFrame, plan: DataFrame, few: bool, measure: Callable[[Column], Column] = F.sqrt) -> DataFrame:
+    """rows (doc_id, source, u, size and any others) with source_size, target, taken and times, the copies taken."""
+    kept = [c for c in rows.columns if c not in ("source_size", "target", "taken", "times")]
+    joined = _joined(rows.select(*kept), plan, few).withColumn("_v", F.when(F.col("_left") > 0, _value(measure)))
+    within = (F.col("size") > 0) & ((F.col("_v") < F.col("_cut")) | F.col("_cut").isNull())
+    at_cut = (F.col("size") > 0) & (F.col("_v") == F.col("_cut"))
+    extra = F.when(F.col("_left") > 0, within | (at_cut & (F.col("_quota") == F.col("_n"))))
+    torn = F.coalesce(at_cut & (F.col("_quota") > 0) & (F.col("_quota") < F.col("_n")), F.lit(False))
+
+    def result(df: DataFrame, taken: Column) -> DataFrame:
+        times = F.col("_copies") + F.coalesce(taken, F.lit(False)).cast("long")
+        return df.select(*kept, F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * times).alias("taken"), times.alias("times"))
+
+    if plan.where((F.col("quota") > 0) & (F.col("quota") < F.col("n"))).isEmpty():
+        return result(joined, extra)
+    # rows alike in id and size lie across the cut: they are numbered by partition and place in it
+    lump = materialise(spark, joined.where(torn).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    of = F.struct(F.col("source")).alias("_of")
+    counts = lump.groupBy(of, "_part").agg(F.count("*").alias("_rows"))
+    before = counts.select("_of", "_part", F.coalesce(F.sum("_rows").over(Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    numbered = lump.select("*", of).join(before, ["_of", "_part"]).withColumn("_number", F.col("_base") + F.row_number().over(Window.partitionBy("_of", "_part").orderBy("_at")))
+    return result(joined.where(~torn), extra).union(result(numbered, F.col("_number") <= F.col("_quota")))
+
+
+def sized(docs: DataFrame, *more: Column, seed: str = "") -> DataFrame:
+    return docs.select(*more, "doc_id", "source", draw(F.col("doc_id"), F.col("text"), seed).alias("u"), words(F.col("text")).alias("size"))
+
+
+def pareto_mix(spark: SparkSession, docs: DataFrame, measure: Callable[[Column], Column] = F.sqrt, seed: str = "", **how) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every document."""
-    sizes = materialise(spark, sized(docs))
-    plan, few = mix_plan(spark, sizes, **how)
-    return apply_plan(sizes, plan, few).drop("u", "digits", "_times")
+    sizes = materialise(spark, sized(docs, seed=seed))
+    plan, few = mix_plan(spark, sizes, measure, **how)
+    return apply_plan(spark, sizes, plan, few, measure).drop("u", "times")
 
 
-def mixed(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. The plan has a bounded row per stratum, so no text is shuffled."""
-    sizes = materialise(spark, sized(docs))
-    plan, few = mix_plan(spark, sizes, **how)
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    times = apply_plan(sized(docs, whole), plan, few).where(F.col("_times") > 0)
-    return times.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_copy")).select("_row.*")
+def mixed(spark: SparkSession, docs: DataFrame, measure: Callable[[Column], Column] = F.sqrt, seed: str = "", **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. The plan has one row per source, so no text is shuffled."""
+    sizes = materialise(spark, sized(docs, seed=seed))
+    plan, few = mix_plan(spark, sizes, measure, **how)
+    release(sizes)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    times = apply_plan(spark, sized(docs, whole, seed=seed), plan, few, measure).where(F.col("times") > 0)
+    return times.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")).select("row.*")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -183,11 +185,11 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH RECURSIVE d0 AS (
+WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(sha256(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) | 1 AS u
+         CAST('0x' || substr(sha256(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 13) AS BIGINT) | 1 AS u
   FROM documents
-), d AS (SELECT *, CASE WHEN size > 0 THEN len(bin(size)) ELSE 0 END AS digits FROM d0),
+),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS cap FROM s0),
 s2 AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
@@ -196,39 +198,18 @@ s2 AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
 s3 AS (SELECT *, least(cap, weight * max(lv) OVER ()) AS target FROM s2),
 s4 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM s3),
 s AS (SELECT *, greatest(target - copies * source_size, 0) AS left_over FROM s4),
-t AS (SELECT d.source, d.digits, any_value(s.source_size) AS source_size, any_value(s.target) AS target, any_value(s.copies) AS copies, any_value(s.left_over) AS left_over,
-             any_value(s.left_over) * sum(size) / any_value(s.source_size) AS budget, CAST(greatest(ceil(log2(count(*) / 16.0::DOUBLE)), 0) AS INTEGER) AS bits
-      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source GROUP BY d.source, d.digits),
-r AS (SELECT d.*, t.* EXCLUDE (source, digits), d.u >> (52 - t.bits) AS b, sum(d.size) OVER (PARTITION BY d.source, d.digits ORDER BY d.u >> (52 - t.bits)) AS upto
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source AND d.digits = t.digits),
-cut AS (SELECT source, digits, min(b) AS cut FROM r WHERE upto > budget GROUP BY source, digits),
-c AS (SELECT r.*, coalesce(cut.cut, 0) AS cut FROM r LEFT JOIN cut ON r.source IS NOT DISTINCT FROM cut.source AND r.digits = cut.digits),
-room AS (SELECT source, digits, max(budget) - coalesce(sum(size) FILTER (b < cut), 0) AS room, max(left_over) AS left_over, max(budget) AS budget FROM c GROUP BY source, digits),
-near AS (SELECT source, digits, doc_id, u, sum(size) AS size, row_number() OVER (PARTITION BY source, digits ORDER BY u, doc_id) AS k
-         FROM c WHERE b >= cut AND b < cut + 3 AND left_over > 0 AND digits > 0 GROUP BY source, digits, doc_id, u),
-g AS (
-  SELECT n.*, n.size <= room AS pick, CASE WHEN n.size <= room THEN room - n.size ELSE room END AS rest
-  FROM near n JOIN room ON n.source IS NOT DISTINCT FROM room.source AND n.digits = room.digits WHERE k = 1
-  UNION ALL
-  SELECT n.*, n.size <= g.rest, CASE WHEN n.size <= g.rest THEN g.rest - n.size ELSE g.rest END
-  FROM g JOIN near n ON n.source IS NOT DISTINCT FROM g.source AND n.digits = g.digits AND n.k = g.k + 1
-),
-own AS (SELECT source, digits, min(rest) AS rest FROM g GROUP BY source, digits),
-whole AS (SELECT room.source, max(room.left_over) - sum(room.budget - coalesce(own.rest, room.room)) AS room
-          FROM room LEFT JOIN own ON room.source IS NOT DISTINCT FROM own.source AND room.digits = own.digits GROUP BY room.source),
-more AS (SELECT source, doc_id, u, size, row_number() OVER (PARTITION BY source ORDER BY digits DESC, u, doc_id) AS k FROM g WHERE NOT pick),
-h AS (
-  SELECT m.*, m.size <= room AS pick, CASE WHEN m.size <= room THEN room - m.size ELSE room END AS rest
-  FROM more m JOIN whole ON m.source IS NOT DISTINCT FROM whole.source WHERE k = 1
-  UNION ALL
-  SELECT m.*, m.size <= h.rest, CASE WHEN m.size <= h.rest THEN h.rest - m.size ELSE h.rest END
-  FROM h JOIN more m ON m.source IS NOT DISTINCT FROM h.source AND m.k = h.k + 1
-),
-rest AS (SELECT source, min(rest) AS rest FROM h GROUP BY source),
-final AS (SELECT h.source, h.doc_id FROM h JOIN rest ON h.source IS NOT DISTINCT FROM rest.source WHERE NOT h.pick AND abs(h.size - rest.rest) < rest.rest
-          QUALIFY row_number() OVER (PARTITION BY h.source ORDER BY abs(h.size - rest.rest), h.u, h.doc_id) = 1),
-picks AS (SELECT source, doc_id FROM g WHERE pick UNION SELECT source, doc_id FROM h WHERE pick UNION SELECT source, doc_id FROM final)
-SELECT c.doc_id, c.size, c.source_size, c.target,
-       CAST(c.size * (c.copies + CASE WHEN c.left_over > 0 AND (c.b < c.cut OR picks.doc_id IS NOT NULL) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM c LEFT JOIN picks ON c.source IS NOT DISTINCT FROM picks.source AND c.doc_id IS NOT DISTINCT FROM picks.doc_id
+z AS (SELECT source, size, CAST(count(*) * size AS DOUBLE) AS words FROM d WHERE size > 0 GROUP BY source, size),
+y AS (SELECT source, size,
+             coalesce(sum(words) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+             sum(words * sqrt(size)) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mass FROM z),
+x AS (SELECT y.source, max(y.size) AS certain, max_by((s.left_over - y.above) / y.mass, y.size) AS factor
+      FROM y JOIN s ON y.source IS NOT DISTINCT FROM s.source WHERE (s.left_over - y.above) / y.mass * sqrt(y.size) <= 1 GROUP BY y.source),
+w AS (SELECT d.*, s.source_size, s.target, s.copies, s.left_over, d.u / 4503599627370496.0::DOUBLE AS r,
+             CASE WHEN d.size > x.certain THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, x.factor * sqrt(d.size)) END AS p
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source),
+v AS (SELECT *, CASE WHEN left_over > 0 AND size > 0 THEN CAST(floor(r * (1 - p) / (r * (1 - p) + (1 - r) * p) * 4503599627370496.0::DOUBLE) AS BIGINT) END AS v FROM w),
+t AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY v NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM v)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (copies + CASE WHEN v IS NOT NULL AND before + size / 2.0::DOUBLE <= left_over THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM t
 """

@@ -94,6 +94,48 @@ def test_pareto_mix(spark, docs):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_pareto_order_has_its_own_odds_for_each_document(spark):
+    """400 sources of the same sizes are 400 draws of one sample: documents are taken as often as their probability says."""
+    from pyspark.sql import functions as F
+
+    sizes = [1, 2, 4, 9, 16, 25, 36, 49, 64, 400] * 4
+    ids = spark.range(400 * len(sizes)).withColumn("i", (F.col("id") % len(sizes)).cast("int"))
+    docs = ids.select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.floor(F.col("id") / len(sizes))).alias("source"), F.expr("repeat('w ', element_at(array(" + ",".join(map(str, sizes)) + "), i + 1))").alias("text"))
+    whole = sum(sizes)
+    chosen = {}
+    for measure in (F.sqrt, lambda size: F.lit(1.0)):
+        got = pareto_mix.pareto_mix(spark, docs, measure, weights=(1,), share=0.7).collect()
+        taken, words_ = Counter(), Counter()
+        for r in got:
+            taken[r["size"]] += r["taken"] > 0
+            words_[r["source"]] += r["taken"]
+        assert all(abs(w - 0.7 * whole) <= 200 for w in words_.values())
+        weight = {s: (s**0.5 if measure is F.sqrt else 1.0) for s in set(sizes)}
+        sure, left = set(), 0.7 * whole
+        while True:  # split off what is certain
+            k = left / sum(weight[s] * s for s in sizes if s not in sure)
+            more = {s for s in weight if s not in sure and k * weight[s] > 1}
+            if not more:
+                break
+            left -= sum(s for s in sizes if s in more)
+            sure |= more
+        for s in weight:
+            p = 1.0 if s in sure else k * weight[s]
+            assert abs(taken[s] / (400 * sizes.count(s)) - p) < 0.06, (s, p, taken[s])
+        chosen[measure] = {r["doc_id"] for r in got if r["taken"]}
+    assert chosen[F.sqrt] != chosen.popitem()[1]
+
+
+def test_rows_alike_at_the_cut(spark):
+    rows = [(7, "a b c d", "s")] * 100 + [(None, f"a b c {i}", "s") for i in range(20)] + [(8, None, "t"), (9, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    for share in (0.3, 0.5, 1.25, 1.6):
+        got = pareto_mix.pareto_mix(spark, docs, weights=(1,), share=share).collect()
+        assert len(got) == len(rows) and abs(sum(r["taken"] for r in got) - share * 480) <= 2
+        out = pareto_mix.mixed(spark, docs, weights=(1,), share=share).collect()
+        assert 4 * len(out) == sum(r["taken"] for r in got)
+
+
 def test_mixed_rows_agree_with_the_mix(spark, docs):
     times = Counter()
     for r in pareto_mix.pareto_mix(spark, docs).collect():
