@@ -205,10 +205,45 @@ def test_best_fit(spark, docs, tokenizer, capacity):
     assert bins <= len(gaps)
 
 
-def test_sweep_is_best_fit_decreasing():
-    counts = {7: 3, 5: 2, 3: 4, 1: 9}
-    placed, bins = best_fit.sweep(counts, 10)
-    assert sum(n for _, _, n, _, _ in placed) == 18 and bins == -(-(21 + 10 + 12 + 9) // 10)
+@pytest.mark.parametrize("lengths", [{7: 3, 5: 2, 3: 4, 1: 9}, {10: 2, 6: 1}, {1: 1000}, {}, {k: 40 * k % 31 + 1 for k in range(1, 101)}])
+def test_places_hold_every_rank_once(spark, lengths):
+    capacity = 10 if max(lengths, default=0) <= 10 else 100
+    placed, bins = best_fit.places(spark, spark.createDataFrame(list(lengths.items()), "length int, n long"), capacity)
+    ranks, filled = defaultdict(list), defaultdict(list)
+    for r in placed.collect():
+        for i in range(r["n"]):
+            ranks[r["length"]].append(r["lo"] + i)
+            filled[r["bin"] + i // r["per"]].append((r["offset"] + i % r["per"] * r["length"], r["length"]))
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in lengths.items()}
+    assert sorted(filled) == list(range(bins))
+    for pieces in filled.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    gaps = []
+    for n in sorted((k for k, m in lengths.items() for _ in range(m)), reverse=True):  # best-fit decreasing, one by one
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((capacity if fit is None else fit) - n)
+    assert bins <= 1.01 * len(gaps) + 1
+
+
+def test_ranges_sweep_as_one_would():
+    import random
+
+    r = random.Random(2)
+    for _ in range(50):
+        gaps = [(g, 1000 * i, r.randint(1, 4)) for i, g in enumerate(r.sample(range(1, 100), 12))]
+        documents = [(s, 0, r.randint(1, 4)) for s in r.sample(range(51, 100), 8)]  # one to a bin
+        placed, left, rest, _ = best_fit.sweep(gaps, documents, 100)
+        parts = [best_fit.sweep([g for g in gaps if lo < g[0] <= lo + 25], [d for d in documents if lo < d[0] <= lo + 25], 100) for lo in (0, 25, 50, 75)]
+        top = best_fit.sweep([g for p in parts for g in p[2]], [d for p in parts for d in p[1]], 100)
+        pairs = lambda ps: Counter((p[0], p[5]) for p in ps for _ in range(p[2]))
+        assert pairs(placed) == pairs(top[0] + [x for p in parts for x in p[0]])
+        assert sum(d[2] for d in left) == sum(d[2] for d in top[1]) and sum(g[2] for g in rest) == sum(g[2] for g in top[2])
 
 
 def test_language_id(spark, docs):
