@@ -1,14 +1,20 @@
 """License scans: winnowed template fingerprints find candidates, banded alignment measures them.
 
 Texts and templates are sequences of words, lower-cased and stripped of
-punctuation at their ends. Every run of ``GRAM`` words is hashed, and of each
-``WINDOW`` neighbouring hashes the smallest (the last of equal ones) is a
-fingerprint; texts that share GRAM + WINDOW - 1 words in a row share one. An
-inverted index from fingerprint to (template, place) names candidates by
-diagonal; around each, a banded local alignment of the template with the text
-gives the words that match, their share of the template (coverage) and the span
-in the text. Matches of COVERAGE or more are reported; of overlapping ones of
-one template the best.
+punctuation at their ends. Every run of ``GRAM`` words of a template is hashed,
+and of each ``WINDOW`` neighbouring hashes the smallest (the last of equal ones)
+is a fingerprint; a text that shares GRAM + WINDOW - 1 words in a row with a
+template has one of its fingerprints among its own hashes. A template of up to
+``SHORT`` words has all its pairs of words as fingerprints, so that it is found
+by two words in a row. An inverted index from fingerprint to (template, place)
+names candidates by diagonal. Diagonals within a band of each other are one
+candidate; a banded local alignment around them gives the words that match,
+their share of the template (coverage) and the span in the text. Matches of
+COVERAGE or more are reported; of overlapping ones of one template the best, and
+none inside another template's that has more words and covers no less.
+
+The templates are a parameter; ``license_texts`` has statements, notices and
+short licenses' whole texts.
 
 Defined cases: a null, empty or matchless text has no row; repeated rows are
 reported each; of matches with equal coverage the first stays; an empty table
@@ -26,35 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagmar.llm.common import WORD, table
+from dagmar.llm.common import WORD, slices, table
+from dagmar.llm.license_texts import TEMPLATES
 
-GRAM, WINDOW, BAND, COVERAGE, MEMO = 3, 2, 6, 0.8, 200_000
+GRAM, WINDOW, SHORT, BAND, COVERAGE, MEMO = 3, 2, 9, 6, 0.8, 200_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#|-_/"
 _SPANS = re.compile(WORD)
 
-#: Statements and notices as their publishers word them.
-TEMPLATES = {
-    "MIT-statement": "Released under the MIT License.",
-    "Apache-2.0-statement": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0-statement": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0-statement": "Licensed under CC BY 4.0.",
-    "GPL-3.0-statement": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "BSD-3-Clause-terms": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-}
-
-
-def align(template: list[int], text: list[int], diagonal: int, band: int) -> tuple[int, int, int]:
-    """(matched words, start, end) of the best local alignment of template to text with text place - template place within band of diagonal.
+def align(template: list[int], text: list[int], low: int, high: int) -> tuple[int, int, int]:
+    """(matched words, start, end) of the best local alignment of template to text with text place - template place from low to high.
 
     A match scores 2, a mismatch or gap -1; start and end are places in text, end exclusive.
     """
     best, before = (0, 0, 0, 0), {}
     for i, word in enumerate(template):
         row = {}
-        for j in range(max(0, i + diagonal - band), min(len(text), i + diagonal + band + 1)):
+        for j in range(max(0, i + low), min(len(text), i + high + 1)):
             score, matched, start = before.get(j - 1, (0, 0, j))
             if score <= 0:
                 score, matched, start = 0, 0, j
@@ -81,12 +74,14 @@ class Index(dict):
         for name in self.names:
             words = [self.clean(w) for w in templates[name].split()]
             self.templates.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words if w])
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.places: dict[int, dict[int, list[tuple[int, int]]]] = {2: defaultdict(list), gram: defaultdict(list)}
         for t, words in enumerate(self.templates):
-            hashes, at = self.winnow(np.array(words, np.int64))
-            for h, p in zip(hashes.tolist(), at.tolist(), strict=True):
-                self.places[h].append((t, p))
-        self.known = np.array(sorted(self.places), np.uint64)
+            short = len(words) <= SHORT
+            n = 2 if short else gram
+            hashes = self.hashes(np.array(words, np.int64), n)
+            for p in range(len(hashes)) if short else self.winnow(hashes).tolist():
+                self.places[n][int(hashes[p])].append((t, p))
+        self.known = {n: np.array(sorted(at), np.uint64) for n, at in self.places.items()}
 
     @staticmethod
     def clean(word: str) -> str:
@@ -98,51 +93,68 @@ class Index(dict):
             self[raw] = number
         return number
 
-    def winnow(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints and their places."""
-        n = len(words) - self.gram + 1
-        if n < 1:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        h = np.zeros(n, np.uint64)
-        for i in range(self.gram):
+    @staticmethod
+    def hashes(words: np.ndarray, gram: int) -> np.ndarray:
+        """Hashes of all runs of gram words."""
+        n = len(words) - gram + 1
+        h = np.zeros(max(n, 0), np.uint64)
+        for i in range(gram if n > 0 else 0):
             h = (h + words[i : i + n].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        width = min(self.window, n)
-        views = np.lib.stride_tricks.sliding_window_view(h, width)
-        at = np.unique(np.arange(len(views)) + width - 1 - views[:, ::-1].argmin(axis=1))
-        return h[at], at
+        return h
+
+    def winnow(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the smallest of each `window` neighbouring hashes."""
+        if not len(hashes):
+            return np.zeros(0, np.int64)
+        width = min(self.window, len(hashes))
+        views = np.lib.stride_tricks.sliding_window_view(hashes, width)
+        return np.unique(np.arange(len(views)) + width - 1 - views[:, ::-1].argmin(axis=1))
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, first word, end word) of each match."""
         numbers = np.fromiter(map(self.__getitem__, _SPANS.findall(text)), np.int64)
-        if np.count_nonzero(numbers) < self.gram:
+        if np.count_nonzero(numbers) < 2:
             return []
-        hashes, at = self.winnow(numbers)
-        hit = np.nonzero(np.isin(hashes, self.known))[0]
         diagonals = defaultdict(set)
-        for i in hit.tolist():
-            for t, p in self.places[int(hashes[i])]:
-                diagonals[t].add(int(at[i]) - p)
+        for n, known in self.known.items():
+            hashes = self.hashes(numbers, n)
+            for i in np.nonzero(np.isin(hashes, known))[0].tolist():
+                for t, p in self.places[n][int(hashes[i])]:
+                    diagonals[t].add(i - p)
         found = []
         for t, all_ in diagonals.items():
-            words, spans, last = self.templates[t], [], None
-            for d in sorted(all_):
-                if last is not None and d - last <= self.band // 2:
-                    continue  # within the band of the one before
-                last = d
-                todo = [(max(0, d - self.band), min(len(numbers), d + len(words) + self.band))]
-                while todo:  # a window may hold further matches before and behind the best one
-                    lo, hi = todo.pop()
-                    matched, start, end = align(words, numbers[lo:hi].tolist(), d - lo, self.band)
-                    if matched >= self.coverage * len(words):
-                        spans.append((matched / len(words), matched, lo + start, lo + end))
-                        todo += [(lo, lo + start), (lo + end, hi)]
+            spans = [s for low, high in self.bands(sorted(all_)) for s in self.matches(t, numbers, low, high)]
             taken: list[tuple] = []
             for s in sorted(spans, key=lambda s: (-s[0], s[2])):
                 if all(s[3] <= o[2] or s[2] >= o[3] for o in taken):
                     taken.append(s)
             found += [(self.names[t], *s) for s in taken]
-        return sorted(found, key=lambda f: (f[3], f[0]))
+        beside = lambda f, o: o is not f and o[3] <= f[3] and f[4] <= o[4] and o[2] > f[2] and o[1] >= f[1]
+        return sorted((f for f in found if not any(beside(f, o) for o in found)), key=lambda f: (f[3], f[0]))
+
+    def bands(self, diagonals: list[int]):
+        """Ranges of diagonals that lie within a band of each other, each with a band on either side."""
+        low = last = diagonals[0]
+        for d in [*diagonals[1:], None]:
+            if d is None or d - last > self.band:
+                yield low - self.band, last + self.band
+                low = d
+            last = d
+
+    def matches(self, t: int, numbers: np.ndarray, low: int, high: int):
+        """(coverage, matched words, first word, end word) of the template's matches within a range of diagonals."""
+        words = self.templates[t]
+        todo = [(max(0, low), min(len(numbers), high + len(words)))]
+        while todo:  # a window may hold further matches before and behind the best one
+            lo, hi = todo.pop()
+            there = set(numbers[lo:hi].tolist())
+            if sum(w in there for w in words) < self.coverage * len(words):
+                continue
+            matched, start, end = align(words, numbers[lo:hi].tolist(), low - lo, high - lo)
+            if matched >= self.coverage * len(words):
+                yield matched / len(words), matched, lo + start, lo + end
+                todo += [(lo, lo + start), (lo + end, hi)]
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -152,9 +164,8 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, str
     def run(batches):
         index = Index(chosen)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
+            for some in slices([batch], 1, 4 << 20):
                 out = [[] for _ in range(8)]
-                some = batch.slice(at, 1024)
                 for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     matches = index.scan(text) if text else []
                     if not matches:
