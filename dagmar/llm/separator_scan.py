@@ -12,7 +12,7 @@ Defined cases: an empty document counts 0 tokens; tokens behind a file's last
 separator are a last document that is marked as not terminated; an empty file
 has no document. For documents as input: a null or empty text has 0 tokens;
 strings of special tokens in a text are ordinary text, so no text holds a
-separator; repeated rows are written each; an empty table gives an empty
+separator; a vocabulary whose ids don't fit a file's width is an error; repeated rows are written each; an empty table gives an empty
 result; only doc_id and text are looked at.
 """
 
@@ -42,12 +42,14 @@ def write_flat(spark: SparkSession, docs: DataFrame, end: int = END, tokenizer:
     def run(batches):
         encode, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
         held, ids, size = [], [], 0
+        if max(encode.size, end + 1) > 1 << 8 * WIDTH:
+            raise OverflowError(f"ids up to {max(encode.size - 1, end)} don't fit {WIDTH} bytes")
         close = np.array([end], f"<u{WIDTH}").tobytes()
 
         def flush():
             path = f"{folder}/tokens-{part:06d}-{number:04d}"
             write_bytes(path, *held)
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([part * 10_000 + number], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["path", "file", "tokens", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([(part << 32) + number], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["path", "file", "tokens", "ids"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

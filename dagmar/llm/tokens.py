@@ -38,6 +38,7 @@ class Encoder(dict):
         names = _byte_names()
         special = {t["content"] for t in model.get("added_tokens", [])}
         ranks = {bytes(names[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        self.size = max(ranks.values()) + 1
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
