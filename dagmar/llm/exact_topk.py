@@ -12,7 +12,8 @@ Defined cases: a vector that is null or holds a null or non-finite component
 takes no part; shorter vectors count as ending in zeros; a null id is never a
 query and its vector is no candidate; rows that repeat an id count as
 candidates each, and as one query, with the lowest of their vectors; a query's
-own id is never its candidate; an empty table gives an empty result; of the
+own id is never its candidate; vectors so long that a score could pass 64 bits
+are an error; an empty table gives an empty result; of the
 table only vec_id and embedding are looked at.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dagmar.llm.common import materialise, table
+from dagmar.llm.common import materialise, release, shared_dir, table
 
 SCALE, BINS, WAVE, BLOCK = 1024.0, 2048, 512, 4096
 
@@ -115,11 +116,17 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 100
     """query_id, rank, vec_id and score of the k best candidates of every row whose id `every` divides."""
     packed = materialise(spark, blocks(vectors))
     most = packed.agg(F.max("most")).first()[0] or 0.0
+    if most * most >= 2.0**62:
+        raise OverflowError(f"a vector has length {most:.3g} after scaling: scores don't fit 64 bits")
     total = vectors.where(F.col("vec_id") % every == 0).count()
     waves = max(1, -(-total // (WAVE // 2 if total > WAVE else WAVE)))
     asked = materialise(spark, _queries(packed, every, waves))
-    found = []
-    share = spark.sparkContext.broadcast
+    folder, waves_done, shared = shared_dir(spark), 0, []
+
+    def share(value):
+        shared.append(spark.sparkContext.broadcast(value))
+        return shared[-1]
+
     for w in range(waves):
         rows = asked.where(F.col("wave") == w).orderBy("query_id").collect()
         if not rows:
@@ -151,13 +158,13 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 100
         kth = np.where(done, -bound - 1, low)
         picked = _picked(packed, wave, share(kth), share(np.where(done, 0, k - above)))
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        found.append(materialise(spark, picked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.select("query_id", "rank", "vec_id", "score")
+        picked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(folder)
+        waves_done += 1
+        while shared:
+            shared.pop().destroy()
+    release(packed, asked)
+    result = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(result).parquet(folder) if waves_done else spark.createDataFrame([], result)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

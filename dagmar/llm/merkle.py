@@ -10,8 +10,8 @@ An audit joins the two replicas' roots, keeps those that differ, and goes down
 level by level into the children of differing nodes only; at the bottom, the
 records of differing ranges are compared one by one.
 
-Defined cases: null url or html count as empty; a null page_id goes to a file
-of its own; a range or file that one replica lacks counts as different; records
+Defined cases: null url or html count as empty; null page_ids are dealt
+by their records' hashes to 2 ** 24 files numbered below zero; a range or file that one replica lacks counts as different; records
 that share an offset are compared as a set; an empty table gives an empty
 result; of pages only page_id, url and html are looked at.
 """
@@ -37,7 +37,8 @@ def record_bytes(url: Column, html: Column) -> Column:
 def records(pages: DataFrame) -> DataFrame:
     """file, offset, length and hash of every page's record, PAGES_PER_FILE ids to a file, in order of id."""
     record = record_bytes(F.col("url"), F.col("html"))
-    file = F.coalesce(F.floor(F.col("page_id") / F.lit(PAGES_PER_FILE)), F.lit(-1))
+    dealt = F.lit(-1) - F.conv(F.substring(F.sha2(record, 256), 1, 6), 16, 10).cast("long")
+    file = F.coalesce(F.floor(F.col("page_id") / F.lit(PAGES_PER_FILE)), dealt)
     rows = pages.select(file.cast("long").alias("file"), "page_id", F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("hash"))
     upto = Window.partitionBy("file").orderBy("page_id", "hash").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(upto), F.lit(0)))
@@ -99,12 +100,13 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH r AS (
-  SELECT page_id, CAST(coalesce(floor(page_id / 512.0), -1) AS BIGINT) AS file,
+  SELECT page_id, CAST(floor(page_id / 512.0) AS BIGINT) AS own_file,
          'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
          || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
          || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
   FROM pages
-), h AS (SELECT page_id, file, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS record_sha256 FROM r)
+), g AS (SELECT page_id, own_file, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS record_sha256 FROM r),
+h AS (SELECT page_id, coalesce(own_file, -1 - CAST('0x' || substr(record_sha256, 1, 6) AS BIGINT)) AS file, length, record_sha256 FROM g)
 SELECT page_id, file, length, record_sha256,
        CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, record_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
        CASE WHEN page_id % 101 = 7 THEN 'missing' WHEN page_id % 97 = 13 THEN 'corrupt' ELSE 'ok' END AS status

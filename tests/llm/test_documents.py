@@ -514,7 +514,44 @@ def test_alignment_finds_what_an_unbanded_one_finds():
     for _ in range(30):
         template = [r.randint(1, 9) for _ in range(12)]
         text = [r.randint(0, 9) for _ in range(5)] + [w for w in template if r.random() > 0.1] + [r.randint(0, 9) for _ in range(5)]
-        assert license_scan.align(template, text, 5, 6)[0] >= license_scan.align(template, text, 5, 100)[0] - 1
+        assert license_scan.align(template, text, -1, 11)[0] >= license_scan.align(template, text, -100, 100)[0] - 1
+
+
+def test_licenses_against_an_alignment_at_all_places(spark, tmp_path):
+    """Edited templates amid prose, and prose alone: what the query reports is what an alignment of every template with every whole text finds."""
+    import random
+
+    r = random.Random(11)
+    filler = "river stone the of and software to license under winter copy".split()
+    chosen = {n: license_scan.TEMPLATES[n] for n in ("MIT-statement", "CC-BY-4.0-statement", "CC-BY-SA-4.0-statement", "GPL-3.0-statement", "MPL-2.0-notice", "ISC", "BSD-2-Clause-statement")}
+    rows = []
+    for i in range(60):
+        words = chosen[r.choice(list(chosen))].split()
+        for _ in range(r.randint(0, max(1, len(words) // 12))):
+            words[r.randrange(len(words))] = r.choice(["changed", ""])
+        around = [" ".join(r.choice(filler) for _ in range(r.randint(0, 30))) for _ in range(2)]
+        rows.append((i, f"{around[0]} {' '.join(words) if i % 6 else ''} {around[1]}"))
+    index = license_scan.Index(chosen)
+    want = {}
+    for i, text in rows:
+        numbers = [index[w] for w in WORDS.findall(text)]
+        for t, name in enumerate(index.names):
+            matched, start, end = license_scan.align(index.templates[t], numbers, -(10**6), 10**6)
+            if matched >= 0.8 * len(index.templates[t]):
+                want[i, name] = (matched / len(index.templates[t]), start, end)
+    got = defaultdict(list)
+    for m in license_scan.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string"), chosen).collect():
+        got[m["doc_id"], m["license"]].append((m["coverage"], m["start_word"], m["end_word"]))
+    assert all(k in want and want[k] in v for k, v in got.items())
+    for i, name in want.keys() - got.keys():  # a better match of another template holds it
+        assert any(j == i and o != name and c >= want[i, name][0] and s <= want[i, name][1] and want[i, name][2] <= e for (j, o), (c, s, e) in want.items())
+    assert len(got) > 30
+
+
+def test_ids_that_do_not_fit_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(Exception, match="don't fit"):
+        separator_scan.write_flat(spark, docs, end=1 << 16)
 
 
 OPERATORS = {

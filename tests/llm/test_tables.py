@@ -91,3 +91,15 @@ def test_a_tree_is_the_hash_of_its_parts(spark):
     digests = {r["node"]: r["digest"] for r in low.collect()}
     assert digests == {0: sha("0:5:aa\n5:5:bb"), 1: sha(f"{merkle.RANGE}:3:cc")}
     assert [r["digest"] for r in top.collect()] == [sha(f"0:{digests[0]}\n1:{digests[1]}")]
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    vectors = spark.createDataFrame([(0, [3e35]), (1, [1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(OverflowError):
+        exact_topk.top_k(spark, vectors)
+
+
+def test_null_page_ids_are_dealt_out(spark):
+    pages = spark.createDataFrame([(None, f"u{i}", "x" * 50) for i in range(300)] + [(1, None, None)], "page_id long, url string, html string")
+    rows = merkle.records(pages).collect()
+    assert len({r["file"] for r in rows if r["page_id"] is None}) > 290 and all(r["file"] < 0 for r in rows if r["page_id"] is None)
