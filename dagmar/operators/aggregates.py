@@ -94,7 +94,9 @@ def min_diff(df: DataFrame, key: Key, value: str) -> DataFrame:
 
 
 def _plus_join(left: DataFrame, right: DataFrame, key: Key, out: Sequence[str], value: str, agg) -> DataFrame:
-    other = right.withColumnRenamed(value, "_w")
+    # several ways into or out of a hub are one before they meet
+    best = lambda df: df.groupBy(*dict.fromkeys([*_key(key), *(c for c in out if c in df.columns)])).agg(agg(F.col(value)).alias(value))
+    left, other = best(left), best(right).withColumnRenamed(value, "_w")
     return left.join(other, _key(key)).groupBy(*out).agg(agg(F.col(value) + F.col("_w")).alias(value))
 
 

@@ -52,7 +52,7 @@ def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame, max_round
     return seminaive(spark, roots.select("node"), lambda new: new.join(steps, "node").select(F.col("dst").alias("node")), max_rounds)
 
 
-def propagate(spark: SparkSession, edges: DataFrame, labels: DataFrame, max_rounds: int = 100_000, unroll: int = 4) -> DataFrame:
+def propagate(spark: SparkSession, edges: DataFrame, labels: DataFrame, max_rounds: int = 100_000, unroll: int = 8) -> DataFrame:
     """(node, label): the smallest label that reaches each node along edges, from labels (node, label).
 
     The order in which labels spread does not show in the result, so there is no
@@ -61,8 +61,9 @@ def propagate(spark: SparkSession, edges: DataFrame, labels: DataFrame, max_roun
     steps = edges.select(F.col("src").alias("node"), F.col("dst")).distinct()
 
     def spread(now: DataFrame) -> DataFrame:
-        moved = now.join(steps, "node").select(F.col("dst").alias("node"), "label")
-        return now.unionByName(moved).groupBy("node").agg(F.min("label").alias("label"))
+        # one reference to `now`, so that unrolled plans grow by a step at a time: each edge's source and target get the source's label
+        ends = F.explode(F.array("node", F.coalesce("dst", "node"))).alias("_end")
+        return now.join(steps, "node", "left").select("label", ends).groupBy(F.col("_end").alias("node")).agg(F.min("label").alias("label"))
 
     now = materialise(spark, labels.groupBy("node").agg(F.min("label").alias("label")))
     for _ in range(max_rounds):

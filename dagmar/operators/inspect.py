@@ -29,11 +29,11 @@ def inspect(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
     return df.observe(seen, *(m.alias(k) for k, m in (metrics or {"rows": F.count(F.lit(1))}).items())), seen
 
 
-def inspect_aggregate(df: DataFrame, time: str, fn: Callable[[object, list], None], on: bool = True) -> DataFrame:
-    """Call fn(time, rows) with each time's consolidated rows in order of time: a debugging aid that collects."""
-    if on:
+def inspect_aggregate(df: DataFrame, time: str, fn: Callable[[object, list], None], on: bool | None = None, most: int = 10_000) -> DataFrame:
+    """Call fn(time, rows) with each time's consolidated rows in order of time, of at most `most` rows in all, when debugging."""
+    if DEBUG if on is None else on:
         cols = [c for c in df.columns if c != time]
-        rows = df.groupBy(time).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("rows")).orderBy(time).collect()
+        rows = df.limit(most).groupBy(time).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("rows")).orderBy(time).collect()
         for r in rows:
             fn(r[time], r["rows"])
     return df

@@ -15,10 +15,10 @@ from dagmar.plans.graph_ir import cse as graph_cse
 from dagmar.plans.graph_ir import dce as graph_dce
 from dagmar.plans.graph_ir import folding as graph_folding
 from dagmar.plans.graph_ir import passes as graph_passes
-from dagmar.plans.ir import cleanup, collect, folding, inline, loops, peephole, verify
+from dagmar.plans.ir import cleanup, collect, folding, inline, loops, optimise, peephole, verify
 from dagmar.plans.lineage import materialise, shared_dir
 from dagmar.sources import dot, events, pretty, translate
-from dagmar.sources.fixtures import E_CTE, G_CTE, IR_CTE, V_CTE, Tables, WholeTables
+from dagmar.sources.fixtures import E_CTE, G_CTE, IR_CTE, V_CTE, Tables
 from dagmar.streaming import epochs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,9 +138,10 @@ def partition(t):
     return zset.concat(*(p.groupBy().agg(F.count("*").alias("n")).select(lit(i).alias("part"), "n") for i, p in enumerate(parts)))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey % 3 = 1")
+@query("SELECT o_orderkey, CAST(o_custkey % 3 AS INTEGER) AS part FROM orders")
 def partition_array(t):
-    return fanout.partition_array(t.orders, 3, (c("o_custkey") % 3).cast("int"))[1].select("o_orderkey")
+    parts = fanout.partition_array(t.orders, 3, (c("o_custkey") % 3).cast("int"))
+    return zset.concat(*(p.select("o_orderkey", lit(i).alias("part")) for i, p in enumerate(parts)))
 
 
 @query(f"WITH {IR_CTE} SELECT inst_id, CASE WHEN lhs_const IS NULL THEN 0 ELSE 1 END + CASE WHEN rhs_const IS NULL THEN 0 ELSE 2 END AS class FROM ir_inst")
@@ -218,7 +219,7 @@ def cull_edges(t):
 @query(f"WITH {E_CTE} SELECT src, dst, CAST(CASE WHEN src % 3 <> 0 AND dst % 3 <> 0 THEN 1 ELSE -1 END AS BIGINT) AS _diff FROM e WHERE (src % 3 <> 0 AND dst % 3 <> 0) <> (src % 5 <> 0 AND dst % 5 <> 0)")
 def delta_cull_edges(t):
     e = zset.lift(t.edges())
-    nodes = t.spark.range(1000).select(c("id").alias("node"))
+    nodes = t.edges().select(c("src").alias("node")).union(t.edges().select("dst")).distinct()
     old, new = nodes.where("node % 5 <> 0"), nodes.where("node % 3 <> 0")
     return joins.delta_cull_edges(e, e.limit(0), zset.lift(old), joins.differentiate(new, old))
 
@@ -413,26 +414,26 @@ def reachable(t):
     return graph.reachable(t.spark, t.edges(), t.spark.range(1, 2).select(c("id").alias("node")))
 
 
-_LABELS = f"WITH RECURSIVE {E_CTE}, l AS (SELECT DISTINCT src AS node, src AS label FROM e WHERE src % 10 = 0 UNION SELECT e.dst, l.label FROM l JOIN e ON l.node = e.src)"
+_LABELS = f"WITH RECURSIVE {E_CTE}, l AS (SELECT DISTINCT src AS node, src AS label FROM e UNION SELECT e.dst, l.label FROM l JOIN e ON l.node = e.src)"
 
 
 @query(f"{_LABELS} SELECT node, min(label) AS label FROM l GROUP BY node")
 def propagate_min(t):
     e = t.edges()
-    return graph.propagate(t.spark, e, e.where("src % 10 = 0").select(c("src").alias("node"), c("src").alias("label")))
+    return graph.propagate(t.spark, e, e.select(c("src").alias("node"), c("src").alias("label")))
 
 
-_CC = f"WITH RECURSIVE {E_CTE}, u AS (SELECT src, dst FROM e WHERE src % 2 = 0 UNION SELECT dst, src FROM e WHERE src % 2 = 0), l AS (SELECT src AS node, src AS label FROM u UNION SELECT u.dst, l.label FROM l JOIN u ON l.node = u.src), cc AS (SELECT node, min(label) AS component FROM l GROUP BY node)"
+_CC = f"WITH RECURSIVE {E_CTE}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), l AS (SELECT src AS node, src AS label FROM u UNION SELECT u.dst, l.label FROM l JOIN u ON l.node = u.src), cc AS (SELECT node, min(label) AS component FROM l GROUP BY node)"
 
 
 @query(f"{_CC} SELECT node, component FROM cc")
 def connected_components(t):
-    return graph.connected_components(t.spark, t.edges().where("src % 2 = 0"))
+    return graph.connected_components(t.spark, t.edges())
 
 
 @query(f"{_CC} SELECT component AS root, node AS joined FROM cc WHERE node <> component")
 def union_find(t):
-    return graph.union_find(t.spark, t.edges().where("src % 2 = 0"))
+    return graph.union_find(t.spark, t.edges())
 
 
 _CLOSURE = f"WITH RECURSIVE {E_CTE}, p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src)"
@@ -661,10 +662,21 @@ def cleanup_program(t):
     return cleanup.cleanup(t.spark, _folded(t)).block_instructions.select("inst_id", "block_id")
 
 
-@query(f"WITH {IR_CTE} SELECT block_id AS src, unnest([t1, t2]) AS dst FROM ir_term WHERE false")
+@query(f"WITH {IR_CTE}, ends AS (SELECT block_id, CASE WHEN block_id % 8 = 3 THEN block_id - 2 ELSE t1 END AS t1, t2 FROM ir_term), jumps AS (SELECT block_id AS src, unnest([t1, t2]) AS dst FROM ends) SELECT src, dst FROM jumps WHERE dst IS NOT NULL AND (src - 1) % 8 < 4 AND src - (src - 1) % 8 + 2 IN (SELECT block_id FROM ir_blocks)")
 def program_loops(t):
-    """The fixture's functions have no loop: the result is empty."""
-    return loops.loops(t.spark, t.program())
+    """The fixture's programs, with a jump from every second function's third block back to its first: block 1 to 2 or 3, 2 to 4, 3 to 1."""
+    from dataclasses import replace
+
+    p = t.program()
+    back = p.terminators.withColumn("t1", F.when(c("block_id") % 8 == 3, c("block_id") - 2).otherwise(c("t1")))
+    return loops.loops(t.spark, replace(p, terminators=back))
+
+
+@query()
+def ir_optimise(t):
+    """The block IR's optimisation loop over the whole fixture: what is left of it, in place. Beyond SQL."""
+    p = optimise.optimise(t.spark, t.program())
+    return p.block_instructions.join(p.instructions.select("inst_id", "op", "dest", "callee"), "inst_id")
 
 
 _HEUR = f"""WITH {IR_CTE}, loc AS (SELECT i.*, b.func_id FROM ir_inst i JOIN ir_blocks b USING (block_id)),
@@ -865,37 +877,70 @@ def epoch_monotone(t):
     return state.read().withColumnRenamed("_diff", "n")
 
 
-# graph queries over an edge of every customer row: no SQL, as its recursion is too slow there; tests hold them against brute force
+# arrangements, inspection, constants, and what else shows as a table
 
 
-def whole(fn: Callable[[Tables], DataFrame], name: str | None = None):
-    """Register a function of the tables with the whole graph."""
-    QUERIES[name or f"{fn.__name__}_whole"] = lambda spark, sf_dir: fn(WholeTables(spark, sf_dir))
-    return fn
+def _arranged(df: DataFrame) -> DataFrame:
+    """The arrangement's rows as any reader sees them."""
+    return exchange.as_collection(df)
 
 
-for _fn in (reachable, scc_edges, loop_edges, iterate, vsdg_loops, minplus_join, maxplus_join, cull_edges, map_in_place):
-    whole(_fn)
+@query("SELECT p_brand, p_partkey FROM part")
+def arrange_by_key_exchange(t):
+    return _arranged(exchange.arrange_by_key_exchange(t.part.select("p_brand", "p_partkey"), c("p_partkey") % 7, "p_brand"))
 
-whole(lambda t: graph.connected_components(t.spark, t.edges()), "connected_components_whole")
-whole(lambda t: graph.union_find(t.spark, t.edges()), "union_find_whole")
 
+@query("SELECT n_nationkey, n_name FROM nation")
+def arrange_by_self(t):
+    return _arranged(exchange.arrange_by_self(t.nation.select("n_nationkey", "n_name")))
 
-def _propagate_min_whole(t):
-    e = t.edges()
-    return graph.propagate(t.spark, e, e.select(c("src").alias("node"), c("src").alias("label")))
 
+@query("SELECT n_nationkey, n_name FROM nation")
+def arrange_by_self_exchange(t):
+    return _arranged(exchange.arrange_by_self_exchange(t.nation.select("n_nationkey", "n_name"), c("n_nationkey") % 3))
 
-def _delta_cull_edges_whole(t):
-    e = t.edges()
-    nodes = e.select(c("src").alias("node")).union(e.select("dst")).distinct()
-    old, new = nodes.where("node % 5 <> 0"), nodes.where("node % 3 <> 0")
-    e = zset.lift(e)
-    return joins.delta_cull_edges(e, e.limit(0), zset.lift(old), joins.differentiate(new, old))
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'went' ELSE 'came' END AS change FROM orders WHERE (o_orderkey % 7 = 0) <> (o_orderkey % 5 = 0)")
+def diff_report(t):
+    rows = t.orders.select("o_orderkey")
+    went, came = inspect.diff_report(rows.where("o_orderkey % 5 <> 0"), rows.where("o_orderkey % 7 <> 0"), "o_orderkey")
+    return zset.concat(went.withColumn("change", lit("went")), came.withColumn("change", lit("came")))
+
+
+@query("SELECT s_nationkey, count(*) AS n, max(s_suppkey) AS largest FROM supplier GROUP BY s_nationkey")
+def debug_taps(t):
+    """Taps in the middle of a plan change nothing."""
+    seen = []
+    tapped = inspect.inspect_aggregate(inspect.debug_inspect(t.supplier, lambda df: seen.append(df.count()), on=True), "s_nationkey", lambda time, rows: seen.append(time), on=True)
+    assert seen
+    return tapped.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.max("s_suppkey").alias("largest"))
+
+
+@query("SELECT s_suppkey, s_nationkey = 0 AS zero, true AS signed, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey <> 0 END AS truth FROM supplier")
+def constant_predicates(t):
+    ty = F.when(c("s_suppkey") % 2 == 0, "bool").otherwise("int")
+    return t.supplier.select("s_suppkey", scalars.is_zero(c("s_nationkey")).alias("zero"), scalars.is_signed_int(c("s_nationkey"), lit("int")).alias("signed"), scalars.as_bool(c("s_nationkey"), ty).alias("truth"))
+
+
+_KINDS = ["==", "!=", "<", ">", "<=", ">="]
+
+
+@query("SELECT s_suppkey, k.kind, CASE k.kind " + " ".join(f"WHEN '{k}' THEN s_nationkey {'=' if k == '==' else '<>' if k == '!=' else k} s_suppkey % 25" for k in _KINDS) + " END AS holds FROM supplier CROSS JOIN (VALUES " + ", ".join(f"('{k}')" for k in _KINDS) + ") AS k(kind)")
+def compare_all_kinds(t):
+    rows = t.supplier.select("s_suppkey", "s_nationkey", F.explode(F.array(*map(lit, _KINDS))).alias("kind"))
+    return rows.select("s_suppkey", "kind", scalars.compare(c("kind"), c("s_nationkey"), c("s_suppkey") % 25).alias("holds"))
 
 
-whole(_propagate_min_whole, "propagate_min_whole")
-whole(_delta_cull_edges_whole, "delta_cull_edges_whole")
+@query("SELECT n_nationkey, CAST(-1 AS BIGINT) AS _diff FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT n_nationkey + 100, CAST(1 AS BIGINT) FROM nation WHERE n_nationkey % 5 = 0")
+def differing_rows(t):
+    """What assert_eq tells of relations that differ: rows that went (-1) and came (+1)."""
+    before = t.nation.select("n_nationkey")
+    after = before.select(F.when(c("n_nationkey") % 5 == 0, c("n_nationkey") + 100).otherwise(c("n_nationkey")).alias("n_nationkey"))
+    try:
+        zset.assert_eq(after, before)
+    except AssertionError:
+        return zset.differences(after, before).select("n_nationkey", c("_diff").cast("bigint").alias("_diff"))
+    raise AssertionError("the relations differ")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from dagmar.operators import inspect
 from dagmar.operators.aggregates import star_edges
 from dagmar.operators.graph import NotConverged, connected_components
 from dagmar.plans.equisat import sexpr
-from dagmar.plans.lineage import materialise
+from dagmar.plans.lineage import materialise, release
 
 #: (spark, canonical e-nodes with their class) -> (a, b): ids that are equal.
 Rewrite = Callable[[DataFrame], DataFrame]
@@ -42,18 +42,23 @@ def congruent(canonical: DataFrame) -> DataFrame:
     return star_edges(canonical.where(F.col("op").isin(*BINARY)), ["op", "lhs", "rhs"], "id").select(F.col("least").alias("a"), F.col("other").alias("b"))
 
 
-def union(spark: SparkSession, enodes: DataFrame, mergers: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Congruence closure: (lookup of classes, canonical e-nodes)."""
-    mergers = materialise(spark, mergers.select("a", "b").distinct())
-    known = mergers.count()
+def union(spark: SparkSession, enodes: DataFrame, mergers: DataFrame, max_rounds: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Congruence closure: (lookup of classes, canonical e-nodes).
+
+    The given mergers are looked at once. A round then merges the classes of
+    congruent e-nodes that differ, by components of those pairs only.
+    """
+    lookup = materialise(spark, canonical_ids(spark, mergers.select("a", "b").distinct(), enodes))
     for _ in range(max_rounds):
-        lookup = materialise(spark, canonical_ids(spark, mergers, enodes))
         canonical = materialise(spark, canonicalise(enodes, lookup))
-        mergers = materialise(spark, mergers.union(congruent(canonical)).distinct())
-        n = mergers.count()
-        if n == known:
+        binary = canonical.where(F.col("op").isin(*BINARY)).select("op", "lhs", "rhs", "class").distinct()
+        pairs = materialise(spark, star_edges(binary, ["op", "lhs", "rhs"], "class").select(F.col("least").alias("src"), F.col("other").alias("dst")).distinct())
+        if pairs.isEmpty():
+            release(pairs)
             return lookup, canonical
-        known = n
+        to = connected_components(spark, pairs).select(F.col("node").alias("class"), F.col("component").alias("_class"))
+        older, lookup = lookup, materialise(spark, lookup.join(to, "class", "left").select("id", F.coalesce("_class", "class").alias("class")))
+        release(older, canonical, pairs)
     raise NotConverged(f"classes still merge after {max_rounds} rounds")
 
 
@@ -122,7 +127,7 @@ class EGraph:
         inspect.debug(self.mergers, "mergers", on)
         return self
 
-    def saturate(self, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+    def saturate(self, max_rounds: int = 100_000) -> tuple[DataFrame, DataFrame]:
         """Close under congruence and rules by turns until no rule finds a new pair; (lookup, canonical e-nodes)."""
         for _ in range(max_rounds):
             lookup, canonical = union(self.spark, self.enodes, self.mergers)
@@ -140,7 +145,7 @@ class EGraph:
     feedback = saturate
 
 
-def extraction_costs(spark: SparkSession, canonical: DataFrame, max_rounds: int = 100) -> DataFrame:
+def extraction_costs(spark: SparkSession, canonical: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """(class, cost, id): the cheapest member of each class. Constants cost 0, parameters 1, an operation 1 more than its operands."""
     leaves = canonical.where(~F.col("op").isin(*BINARY)).select("class", F.when(F.col("op") == "Constant", 0).otherwise(1).cast("long").alias("cost"), "id")
     inner = canonical.where(F.col("op").isin(*BINARY)).select("class", "lhs", "rhs", "id")

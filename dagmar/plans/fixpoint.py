@@ -71,15 +71,22 @@ class Variable:
         return fixpoint(spark, self.start, self.step, max_rounds)
 
 
-def seminaive(spark: SparkSession, start: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = ROUNDS, compact: int = 16) -> DataFrame:
+def seminaive(spark: SparkSession, start: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = ROUNDS, compact: int = 16, unroll: int = 4) -> DataFrame:
     """Least fixpoint of a monotone step: each round looks at the rows that the one before found.
 
-    What is known is a union of written rounds, rewritten every `compact` rounds.
+    A round takes up to `unroll` steps in one job and then drops what was known,
+    so that long chains take few jobs; the first rounds are single steps, as
+    most relations are done soon. What is known is a union of written rounds,
+    rewritten every `compact` rounds.
     """
     delta = known = materialise(spark, start.distinct())
     parts = [known]
     for round_ in range(1, max_rounds + 1):
-        delta = materialise(spark, step(delta).select(*start.columns).distinct().join(known, start.columns, "left_anti"))
+        now, found = delta, None
+        for _ in range(1 if round_ < 3 else unroll):
+            now = step(now).select(*start.columns).distinct()
+            found = now if found is None else found.union(now)
+        delta = materialise(spark, found.distinct().join(known, start.columns, "left_anti"))
         if delta.isEmpty():
             release(delta)
             return known

@@ -89,7 +89,7 @@ def fold_constants(graph: ProgramGraph) -> ProgramGraph:
     return _become_constants(graph, foldable(graph))
 
 
-def constant_folding(spark: SparkSession, graph: ProgramGraph, max_rounds: int = 100) -> ProgramGraph:
+def constant_folding(spark: SparkSession, graph: ProgramGraph, max_rounds: int = 100_000) -> ProgramGraph:
     """Simplify and fold until no node changes."""
     for _ in range(max_rounds):
         graph = algebraic_simplification(spark, graph).written(spark)

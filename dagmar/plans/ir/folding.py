@@ -1,7 +1,9 @@
 """Constant folding and propagation over the block IR.
 
-Each step is one pass of left joins against the relation of known constants;
-constant_folding() repeats the round until nothing changes.
+Each step is one pass of left joins against the relation of known constants.
+constant_folding() first finds all constants, looking in each round at the
+narrow relation of what is not decided yet and at the round's new constants
+only, and then rewrites the program once.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagmar.functions.scalars import BINOPS, NUMBER, evaluate
-from dagmar.plans.fixpoint import fixpoint
+from dagmar.operators.graph import NotConverged
+from dagmar.plans.fixpoint import ROUNDS, fixpoint
 from dagmar.plans.ir.collect import single_declarations
-from dagmar.plans.lineage import materialise
+from dagmar.plans.lineage import materialise, release
 from dagmar.sources.program import Program
 
 
@@ -33,10 +36,10 @@ def _with_known(df: DataFrame, known: DataFrame, *sides: str) -> DataFrame:
     return df
 
 
-def evaluate_binary_ops(instructions: DataFrame) -> DataFrame:
+def evaluate_binary_ops(instructions: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Binary operations on known constants become assignments of the result; what has no result stays."""
     cols = instructions.columns
-    rows = _with_known(instructions, constants(instructions), "lhs", "rhs")
+    rows = _with_known(instructions, constants(instructions) if known is None else known, "lhs", "rhs")
     value = F.when(F.col("op").isin(*BINOPS), evaluate(F.col("op"), F.col("_lhs"), F.col("_rhs"), F.col("_lhs_type"), F.col("_rhs_type")))
     rows = rows.withColumn("_value", value)
     fold = F.col("_value").isNotNull()
@@ -44,9 +47,9 @@ def evaluate_binary_ops(instructions: DataFrame) -> DataFrame:
     return rows.select(*(F.when(fold, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in cols))
 
 
-def promote_constants(instructions: DataFrame) -> DataFrame:
+def promote_constants(instructions: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Known variables among operands and arguments become literals."""
-    cols, known = instructions.columns, constants(instructions)
+    cols, known = instructions.columns, constants(instructions) if known is None else known
     rows = _with_known(instructions, known, "lhs", "rhs")
     for s in ("lhs", "rhs"):
         hit = F.col(f"{s}_var").isNotNull() & F.col(f"_{s}").isNotNull()
@@ -60,9 +63,9 @@ def promote_constants(instructions: DataFrame) -> DataFrame:
     return rows.select(*cols)
 
 
-def fold_terminators(terminators: DataFrame, instructions: DataFrame) -> DataFrame:
+def fold_terminators(terminators: DataFrame, instructions: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Returns of known variables return literals; branches on known conditions, or with one target, become jumps."""
-    cols, known = terminators.columns, constants(instructions)
+    cols, known = terminators.columns, constants(instructions) if known is None else known
     rows = _with_known(terminators, known, "ret")
     conds = known.where("ty = 'bool'").select(F.col("var").alias("cond_var"), (F.col("value") != 0).alias("_cond"))
     rows = rows.join(conds, "cond_var", "left").withColumn("_cond", F.coalesce("cond_const", "_cond"))
@@ -116,17 +119,48 @@ def constant_folding_round(program: Program) -> Program:
     return replace(program, instructions=insts, terminators=fold_terminators(program.terminators, insts))
 
 
-def constant_folding(spark: SparkSession, program: Program, max_rounds: int = 100) -> Program:
-    """Fold until nothing folds any more, then drop copies.
+def all_constants(spark: SparkSession, instructions: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
+    """(var, value, ty) of all variables that folding finds to be one known constant.
 
-    Terminators don't feed back into instructions and known constants only
-    grow, so they are folded once, by the last constants. A round writes what it
-    evaluated before promoting it, as promotion reads it several times.
+    What is not decided are the single declarations by a copy or a binary
+    operation. A round puts its new constants in for their operands, evaluates
+    what is then complete, and goes on with the rest; complete ones without a
+    result (overflow, types that differ) are decided, too.
     """
-
-    def step(now: DataFrame) -> DataFrame:
-        return promote_constants(materialise(spark, evaluate_binary_ops(now)))
-
-    insts = fixpoint(spark, program.instructions, step, max_rounds)
-    ends = materialise(spark, fold_terminators(program.terminators, insts))
+    single = instructions.join(single_declarations(instructions), instructions["dest"] == F.col("var"), "left_semi")
+    copy = F.col("op") == "Assign"
+    derived = single.where(F.col("op").isin(*BINOPS) | (copy & F.col("lhs_var").isNotNull()))
+    columns = ["dest", "op", "lhs_var", "lhs_const", "lhs_ty", "rhs_var", "rhs_const", "rhs_ty"]
+    new = materialise(spark, constants(instructions))
+    found, parts, rest = new, [new], derived.select(*columns)
+    for _ in range(max_rounds):
+        for side in ("lhs", "rhs"):
+            with_it = new.select(F.col("var").alias("_var"), F.col("value").alias("_value"), F.col("ty").alias("_ty"))
+            rest = rest.join(with_it, F.col(f"{side}_var") == F.col("_var"), "left").select(
+                *(c for c in columns if not c.startswith(f"{side}_")),
+                F.when(F.col("_var").isNull(), F.col(f"{side}_var")).alias(f"{side}_var"), F.coalesce("_value", f"{side}_const").alias(f"{side}_const"), F.coalesce("_ty", f"{side}_ty").alias(f"{side}_ty"),
+            )
+        whole = F.col("lhs_var").isNull() & (copy | F.col("rhs_var").isNull())
+        value = F.when(copy, F.col("lhs_const")).otherwise(evaluate(F.col("op"), F.col("lhs_const"), F.col("rhs_const"), F.col("lhs_ty"), F.col("rhs_ty"))).cast(NUMBER)
+        done = materialise(spark, rest.select(*columns, whole.alias("_whole"), F.when(whole, value).alias("_value")).where(~F.col("_whole") | F.col("_value").isNotNull()))
+        new = done.where("_whole").select(F.col("dest").alias("var"), F.col("_value").alias("value"), F.col("lhs_ty").alias("ty"))
+        rest = done.where("not _whole").select(*columns)
+        parts.append(done)
+        if new.isEmpty():
+            out = materialise(spark, found)
+            release(*parts)
+            return out
+        found = found.union(new)
+        if len(parts) > 32:
+            found = materialise(spark, found)
+            release(*parts[:-1])
+            parts = [found, parts[-1]]
+    raise NotConverged(f"constants still found after {max_rounds} rounds")
+
+
+def constant_folding(spark: SparkSession, program: Program, max_rounds: int = ROUNDS) -> Program:
+    """Find all constants, put them in, evaluate, fold terminators, then drop copies."""
+    known = all_constants(spark, program.instructions, max_rounds)
+    insts = materialise(spark, evaluate_binary_ops(promote_constants(program.instructions, known), known))
+    ends = materialise(spark, fold_terminators(program.terminators, insts, known))
     return eliminate_copies(spark, replace(program, instructions=insts, terminators=ends))

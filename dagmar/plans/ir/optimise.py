@@ -14,7 +14,7 @@ from dagmar.plans.ir.peephole import peephole
 from dagmar.sources.program import Program
 
 
-def optimise(spark: SparkSession, p: Program, max_rounds: int = 20) -> Program:
+def optimise(spark: SparkSession, p: Program, max_rounds: int = 1000) -> Program:
     """Fold, peephole, cull, compact and clean up until nothing changes."""
     now = p.written(spark)
     for _ in range(max_rounds):

@@ -156,7 +156,9 @@ class Builder:
         """Types left to infer: a call's result has its function's type, and a variable one type wherever it is used."""
         returns = {f.id: f.ret_ty for f in self.functions}
         types: dict[int, str] = {}
-        for _ in range(2):
+        before = None
+        while types != before:  # a chain of calls hands its types on by a call a pass
+            before = dict(types)
             for f in self.functions:
                 for i in f.insts:
                     if i["dest_ty"] == "infer" and i["op"] == "Call":

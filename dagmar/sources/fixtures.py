@@ -13,10 +13,8 @@ from dagmar.sources.program import Program, ProgramGraph
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-EDGES = "SELECT c_custkey AS src, (c_custkey*c_custkey+1) % 1000 AS dst FROM {customer} WHERE c_custkey < 1000"
-
 #: An edge of every customer row, whatever the table's size.
-WHOLE_EDGES = "SELECT c_custkey AS src, (c_custkey*c_custkey+1) % n AS dst FROM {customer} CROSS JOIN (SELECT count(*) AS n FROM {customer}) AS size"
+EDGES = "SELECT c_custkey AS src, (c_custkey*c_custkey+1) % n AS dst FROM {customer} CROSS JOIN (SELECT count(*) AS n FROM {customer}) AS size"
 
 IR_BLOCKS = "SELECT DISTINCT CAST((o_orderkey - o_orderkey % 8)/8 AS BIGINT)+1 AS block_id, CAST((o_orderkey - o_orderkey % 32)/32 AS BIGINT)+1 AS func_id FROM {orders}"
 
@@ -125,13 +123,6 @@ class Tables:
         return self.graph().written(self.spark)
 
 
-class WholeTables(Tables):
-    """The tables with the graph of all customer rows."""
-
-    def edges(self) -> DataFrame:
-        return self.sql(WHOLE_EDGES)
-
-
 def oracle(text: str) -> str:
     """Fixture SQL with the tables' own names."""
     return text.replace("{ir_blocks}", IR_BLOCKS).format(**{n: n for n in TABLES})

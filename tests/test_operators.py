@@ -110,7 +110,7 @@ def test_inspection(spark, capsys):
     df, seen = inspect.inspect(spark.range(5), total=F.sum("id"))
     assert df.count() == 5 and seen.get["total"] == 10
     got = []
-    inspect.inspect_aggregate(spark.range(4).withColumn("t", F.col("id") % 2), "t", lambda t, r: got.append((t, [x["id"] for x in r])))
+    inspect.inspect_aggregate(spark.range(4).withColumn("t", F.col("id") % 2), "t", lambda t, r: got.append((t, [x["id"] for x in r])), on=True)
     assert got == [(0, [0, 2]), (1, [1, 3])]
     inspect.debug(spark.range(1), "name", on=True)
     assert "name" in capsys.readouterr().out

@@ -269,3 +269,14 @@ def test_nested_functions_come_back(spark):
     p.assert_eq(back)
     with pytest.raises(AssertionError):
         p.assert_eq(cleanup._restrict(p, blocks=p.blocks.limit(1).select("block_id")))
+
+
+def test_a_chain_deeper_than_a_hundred_folds(spark):
+    from dagmar.plans.ir import folding
+
+    n = 104
+    rows = [(0, "Assign", 0, "int", None, 1, "int", None, None, None)] + [(i, "Add", i, "int", i - 1, None, "int", None, 1, "int") for i in range(1, n)]
+    insts = spark.createDataFrame(rows, "inst_id long, op string, dest long, dest_ty string, lhs_var long, lhs_const long, lhs_ty string, rhs_var long, rhs_const long, rhs_ty string")
+    insts = insts.selectExpr("inst_id", "op", "dest", "dest_ty", "lhs_var", "cast(lhs_const as decimal(20,0)) lhs_const", "lhs_ty", "rhs_var", "cast(rhs_const as decimal(20,0)) rhs_const", "rhs_ty")
+    found = {r["var"]: int(r["value"]) for r in folding.all_constants(spark, insts).collect()}
+    assert found == {i: i + 1 for i in range(n)}
