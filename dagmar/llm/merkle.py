@@ -11,7 +11,8 @@ level by level into the children of differing nodes only; at the bottom, the
 records of differing ranges are compared one by one.
 
 Defined cases: null url or html count as empty; null page_ids are dealt
-by their records' hashes to 2 ** 24 files numbered below zero; a range or file that one replica lacks counts as different; records
+by their records' hashes to 2 ** 24 files numbered below zero; records of one
+id stay in one file, whose offsets no single task adds up; a range or file that one replica lacks counts as different; records
 that share an offset are compared as a set; an empty table gives an empty
 result; of pages only page_id, url and html are looked at.
 """
@@ -35,13 +36,25 @@ def record_bytes(url: Column, html: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """file, offset, length and hash of every page's record, PAGES_PER_FILE ids to a file, in order of id."""
+    """file, offset, length and hash of every page's record, PAGES_PER_FILE ids to a file, in order of id and hash.
+
+    Equal records of an id are counted, not sorted. An id's records are dealt by the
+    first byte of their hashes into blocks, each summed by itself; a file's offsets
+    are then a prefix sum over its PAGES_PER_FILE * 256 blocks at most.
+    """
     record = record_bytes(F.col("url"), F.col("html"))
     dealt = F.lit(-1) - F.conv(F.substring(F.sha2(record, 256), 1, 6), 16, 10).cast("long")
     file = F.coalesce(F.floor(F.col("page_id") / F.lit(PAGES_PER_FILE)), dealt)
+    block = F.struct("file", "page_id", F.substring("hash", 1, 2)).alias("block")  # a struct, as its fields' nulls are equal
     rows = pages.select(file.cast("long").alias("file"), "page_id", F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("hash"))
-    upto = Window.partitionBy("file").orderBy("page_id", "hash").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(upto), F.lit(0)))
+    kinds = rows.groupBy("file", "page_id", "hash", "length").agg(F.count("*").alias("n")).select("*", block)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = kinds.groupBy("block").agg(F.sum(F.col("length") * F.col("n")).alias("bytes"))
+    base = sums.select("block", F.coalesce(F.sum("bytes").over(before(Window.partitionBy("block.file").orderBy("block"))), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum(F.col("length") * F.col("n")).over(before(Window.partitionBy("block").orderBy("hash"))), F.lit(0))
+    placed = kinds.withColumn("own", own).join(base, "block")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")
+    return placed.select("file", "page_id", "length", "hash", "base", "own", copies).select("file", "page_id", "length", "hash", (F.col("base") + F.col("own") + F.col("copy") * F.col("length")).alias("offset"))
 
 
 def levels(rows: DataFrame, height: int) -> list[DataFrame]:

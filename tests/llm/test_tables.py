@@ -103,3 +103,14 @@ def test_null_page_ids_are_dealt_out(spark):
     pages = spark.createDataFrame([(None, f"u{i}", "x" * 50) for i in range(300)] + [(1, None, None)], "page_id long, url string, html string")
     rows = merkle.records(pages).collect()
     assert len({r["file"] for r in rows if r["page_id"] is None}) > 290 and all(r["file"] < 0 for r in rows if r["page_id"] is None)
+
+
+def test_offsets_of_a_hot_page_id(spark):
+    pages = [(7, f"u{i % 40}", "x" * (i % 13)) for i in range(900)] + [(i, None, "y") for i in range(5, 10)] + [(None, "same", None)] * 3
+    rows = [tuple(r) for r in merkle.records(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).select("file", "page_id", "hash", "length", "offset").collect()]
+    assert len(rows) == len(pages)
+    at = {}
+    for file, _, _, length, offset in sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2], r[4])):
+        assert offset == at.get(file, 0)
+        at[file] = offset + length
+    assert {r[0] for r in rows if r[1] is not None} == {0} and len(at) == 2
