@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagmar.plans.lineage import materialise, release, shared_dir
+from dagmar.plans.lineage import release, shared_dir
+from dagmar.plans.lineage import written as materialise
 
 __all__ = ["LOWER_BYTES", "WORD", "id_crc32", "local_path", "lower_az", "map_bytes", "materialise", "read_range", "release", "shared_dir", "slices", "table", "write_bytes"]
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dagmar.operators.graph import NotConverged
 from dagmar.operators.zset import differences
-from dagmar.plans.lineage import materialise, release
+from dagmar.plans.lineage import by_shuffles, materialise, release
 
 #: Far above the depth of real inputs.
 ROUNDS = 100_000
@@ -86,10 +86,10 @@ def seminaive(spark: SparkSession, start: DataFrame, step: Callable[[DataFrame],
         for _ in range(1 if round_ < 3 else unroll):
             now = step(now).select(*start.columns).distinct()
             found = now if found is None else found.union(now)
-        delta = materialise(spark, found.distinct().join(known, start.columns, "left_anti"))
+        delta = materialise(spark, found.distinct().join(by_shuffles(known), start.columns, "left_anti"))
         if delta.isEmpty():
             release(delta)
-            return known
+            return known if len(parts) == 1 else by_shuffles(known)
         known = known.union(delta)
         parts.append(delta)
         if round_ % compact == 0:

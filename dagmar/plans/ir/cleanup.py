@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dagmar.operators.graph import reachable
 from dagmar.plans.fixpoint import fixpoint, seminaive
 from dagmar.plans.ir.collect import collect_usages
-from dagmar.plans.lineage import materialise
+from dagmar.plans.lineage import by_shuffles, materialise, release
 from dagmar.sources.program import Program
 
 
@@ -20,7 +20,10 @@ def live_instructions(spark: SparkSession, p: Program) -> DataFrame:
     asked = p.terminators.select(F.explode(F.array("ret_var", "cond_var")).alias("var")).where("var is not null")
     roots = declared.join(asked.distinct(), "var", "left_semi").select("inst_id").unionByName(p.instructions.where("op = 'Call'").select("inst_id"))
     needs = collect_usages(p.instructions).select("inst_id", "var").join(declared.withColumnRenamed("inst_id", "needed"), "var").select("inst_id", "needed").distinct()
-    return seminaive(spark, roots, lambda new: new.join(needs, "inst_id").select(F.col("needed").alias("inst_id")))
+    needs = materialise(spark, needs)
+    out = seminaive(spark, roots, lambda new: new.join(needs, "inst_id").select(F.col("needed").alias("inst_id")))
+    release(needs)
+    return out
 
 
 def reachable_blocks(spark: SparkSession, p: Program) -> DataFrame:
@@ -36,7 +39,7 @@ def _restrict(p: Program, insts: DataFrame | None = None, blocks: DataFrame | No
     if blocks is not None:
         block_instructions = block_instructions.join(blocks, "block_id", "left_semi").select(*p.block_instructions.columns)
         p = replace(p, **{k: getattr(p, k).join(blocks, "block_id", "left_semi").select(*getattr(p, k).columns) for k in ("terminators", "blocks", "function_blocks")})
-    return replace(p, instructions=p.instructions.join(block_instructions.select("inst_id"), "inst_id", "left_semi").select(*p.instructions.columns), block_instructions=block_instructions)
+    return replace(p, instructions=p.instructions.join(by_shuffles(block_instructions.select("inst_id")), "inst_id", "left_semi").select(*p.instructions.columns), block_instructions=block_instructions)
 
 
 def cull_unreachable_blocks(spark: SparkSession, p: Program) -> Program:

@@ -17,14 +17,14 @@ from dagmar.functions.scalars import BINOPS, NUMBER, evaluate
 from dagmar.operators.graph import NotConverged
 from dagmar.plans.fixpoint import ROUNDS, fixpoint
 from dagmar.plans.ir.collect import single_declarations
-from dagmar.plans.lineage import materialise, release
+from dagmar.plans.lineage import by_shuffles, materialise, release
 from dagmar.sources.program import Program
 
 
 def constants(instructions: DataFrame) -> DataFrame:
     """(var, value, ty) of variables that are one known constant."""
     known = instructions.where((F.col("op") == "Assign") & F.col("lhs_const").isNotNull()).select(F.col("dest").alias("var"), F.col("lhs_const").alias("value"), F.col("lhs_ty").alias("ty"))
-    return known.join(single_declarations(instructions), "var", "left_semi")
+    return by_shuffles(known.join(by_shuffles(single_declarations(instructions)), "var", "left_semi"))
 
 
 def _with_known(df: DataFrame, known: DataFrame, *sides: str) -> DataFrame:
