@@ -81,14 +81,14 @@ def fold_terminators(terminators: DataFrame, instructions: DataFrame, known: Dat
 def copy_roots(spark: SparkSession, instructions: DataFrame) -> DataFrame:
     """(var, root): variables that are copies, with the end of their chain of copies. Chains are halved each round; a chain that closes on itself has no root."""
     once = single_declarations(instructions)
-    copies = instructions.where((F.col("op") == "Assign") & F.col("lhs_var").isNotNull()).select(F.col("dest").alias("var"), F.col("lhs_var").alias("root")).where("var <> root").join(once, "var", "left_semi")
+    copies = instructions.where((F.col("op") == "Assign") & F.col("lhs_var").isNotNull()).select(F.col("dest").alias("var"), F.col("lhs_var").alias("root")).where("var <> root").join(by_shuffles(once), "var", "left_semi")
 
     def halve(df: DataFrame) -> DataFrame:
         beyond = df.select(F.col("var").alias("root"), F.col("root").alias("_next"))
         return df.join(beyond, "root", "left").select("var", F.coalesce("_next", "root").alias("root")).where("var <> root")
 
     found = fixpoint(spark, copies, halve)
-    return found.join(found.select(F.col("var").alias("root")), "root", "left_anti").select("var", "root")
+    return materialise(spark, found.join(found.select(F.col("var").alias("root")), "root", "left_anti").select("var", "root"))
 
 
 def eliminate_copies(spark: SparkSession, program: Program) -> Program:
@@ -110,7 +110,7 @@ def eliminate_copies(spark: SparkSession, program: Program) -> Program:
         program,
         instructions=rows.select(*cols),
         terminators=ends.select(*program.terminators.columns),
-        block_instructions=program.block_instructions.join(rows.select("inst_id"), "inst_id", "left_semi").select(*program.block_instructions.columns),
+        block_instructions=program.block_instructions.join(by_shuffles(rows.select("inst_id")), "inst_id", "left_semi").select(*program.block_instructions.columns),
     )
 
 
@@ -127,7 +127,7 @@ def all_constants(spark: SparkSession, instructions: DataFrame, max_rounds: int
     what is then complete, and goes on with the rest; complete ones without a
     result (overflow, types that differ) are decided, too.
     """
-    single = instructions.join(single_declarations(instructions), instructions["dest"] == F.col("var"), "left_semi")
+    single = instructions.join(by_shuffles(single_declarations(instructions)), instructions["dest"] == F.col("var"), "left_semi")
     copy = F.col("op") == "Assign"
     derived = single.where(F.col("op").isin(*BINOPS) | (copy & F.col("lhs_var").isNotNull()))
     columns = ["dest", "op", "lhs_var", "lhs_const", "lhs_ty", "rhs_var", "rhs_const", "rhs_ty"]
