@@ -29,6 +29,6 @@ def test_written_tables_are_broadcast_by_their_rows(spark, monkeypatch):
     lineage.release(few, many)
 
 
-@pytest.mark.parametrize("name", ["cleanup_program", "compact_blocks", "constant_folding", "cull_unreachable", "live_instructions"])
+@pytest.mark.parametrize("name", ["cleanup_program", "compact_blocks", "constant_folding", "cull_unreachable", "live_instructions", "eliminate_copies"])
 def test_no_table_is_broadcast(spark, no_broadcast, name):
     QUERIES[name](spark, SF).collect()
