@@ -4,18 +4,18 @@ import pytest
 
 from dagmar.plans import lineage
 from dagmar.plans.catalogue import QUERIES
+from dagmar.plans.graph_ir import passes
+from dagmar.sources.fixtures import Tables
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
 def no_broadcast(spark, monkeypatch):
-    """Any table counts as large, and any broadcast is an error. What AQE measures is left out: those sizes are of rows, not of files."""
+    """Any table counts as large; called, it makes any broadcast an error. What AQE measures is left out: those sizes are of rows, not of files."""
     monkeypatch.setattr(lineage, "BROADCAST_ROWS", -1, raising=False)
     confs = {"spark.sql.maxBroadcastTableSize": "1b", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
-    for k, v in confs.items():
-        spark.conf.set(k, v)
-    yield
+    yield lambda: [spark.conf.set(k, v) for k, v in confs.items()]
     for k in confs:
         spark.conf.unset(k)
 
@@ -31,4 +31,12 @@ def test_written_tables_are_broadcast_by_their_rows(spark, monkeypatch):
 
 @pytest.mark.parametrize("name", ["cleanup_program", "compact_blocks", "constant_folding", "cull_unreachable", "live_instructions", "eliminate_copies"])
 def test_no_table_is_broadcast(spark, no_broadcast, name):
+    no_broadcast()
     QUERIES[name](spark, SF).collect()
+
+
+def test_no_edges_are_broadcast_for_inline_costs(spark, no_broadcast):
+    """The tables are written before, as the fixture's own query broadcasts the eight numbers of a part's nodes."""
+    graph = Tables(spark, SF).graph_tables()
+    no_broadcast()
+    assert passes.trivial_inline(spark, graph).count() == Tables(spark, SF).part.count()
