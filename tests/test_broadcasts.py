@@ -29,7 +29,7 @@ def test_written_tables_are_broadcast_by_their_rows(spark, monkeypatch):
     lineage.release(few, many)
 
 
-@pytest.mark.parametrize("name", ["cleanup_program", "compact_blocks", "constant_folding", "cull_unreachable", "live_instructions", "eliminate_copies"])
+@pytest.mark.parametrize("name", ["cleanup_program", "compact_blocks", "constant_folding", "cull_unreachable", "live_instructions", "eliminate_copies", "ir_optimise"])
 def test_no_table_is_broadcast(spark, no_broadcast, name):
     no_broadcast()
     QUERIES[name](spark, SF).collect()
